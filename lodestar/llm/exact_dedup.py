@@ -97,27 +97,34 @@ def salted_old(out: DataFrame, old: DataFrame, salts: int = 32) -> DataFrame:
     return s.select("doc_id", "uid", "digest", F.when(F.col("_old"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), (F.col("kept") & F.col("_old").isNull()).alias("kept"), "group_size")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without exact copies, all columns kept.
+def without_rows(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``lost`` names by ``_id`` and ``_digest``, all columns kept.
 
-    The rows to go, ids and digests only, are anti-joined: broadcast if counted
-    to be few, by shuffle otherwise. Rows equal in both id and text, which no
-    key tells apart, are reduced to one.
+    ``_twin`` marks a lost row whose id and text equal those of the row that
+    stays; such rows, which no key tells apart, are reduced to one. The list is
+    narrow: broadcast if counted to be short, joined by shuffle otherwise.
     """
+    keyed = docs.withColumn("_key", digest(text_col))
+    match = keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_digest"))
+    twins = lost.filter("_twin").select("_id", "_digest").distinct()
+    go = lost.filter("not _twin").select("_id", "_digest").distinct()
+    if not twins.limit(1).count():
+        return keyed.join(small_or_shuffled(go), match, "left_anti").drop("_key")
+    twins = small_or_shuffled(twins)
+    go = small_or_shuffled(go.join(twins.select(F.col("_id").alias("i"), F.col("_digest").alias("g")), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_digest") == F.col("g")), "left_anti"))
+    out = keyed.join(go, match, "left_anti")
+    return out.join(twins, match, "left_anti").unionByName(out.join(twins, match, "left_semi").dropDuplicates([id_col, "_key"])).drop("_key")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without exact copies: of equal texts the row with the largest id stays, all columns kept."""
     rows = digests(docs, id_col, text_col)
     best = F.max(F.struct("doc_id", "uid"))
     marked = salted_lookup(rows, "digest", "uid", {"_best": (lambda _: best, F.max)})
-    lost = written(marked.filter("uid != _best.uid").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("_best.doc_id").eqNullSafe(F.col("doc_id")).alias("_twin")), "copies")
+    twin = F.col("_best.doc_id").eqNullSafe(F.col("doc_id"))
+    lost = written(marked.filter("uid != _best.uid").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), twin.alias("_twin")), "copies")
     dropped(rows)
-    keyed = docs.withColumn("_key", digest(text_col))
-    match = keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_digest"))
-    go = lost.filter("not _twin").select("_id", "_digest").distinct()
-    out = keyed.join(small_or_shuffled(go), match, "left_anti")
-    twins = lost.filter("_twin").select("_id", "_digest").distinct()
-    if twins.limit(1).count():
-        twins = small_or_shuffled(twins)
-        out = out.join(twins, match, "left_anti").unionByName(out.join(twins, match, "left_semi").dropDuplicates([id_col, "_key"]))
-    return out.drop("_key")
+    return without_rows(docs, lost, id_col, text_col)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup
+from lodestar.llm import exact_dedup, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 SQL = {
