@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup, simhash
+from lodestar.llm import bpe, exact_dedup, simhash, token_files
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
+    "op5_token_files": token_files.op5_token_files,
     "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
