@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, exact_dedup, simhash, token_files
+from lodestar.llm import bpe, exact_dedup, langid, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op6_langid": langid.op6_langid,
     "op4_bpe": bpe.op4_bpe,
     "op5_token_files": token_files.op5_token_files,
     "op2_simhash": simhash.op2_simhash,
