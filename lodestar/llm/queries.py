@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, exact_dedup, langid, simhash, token_files, toxicity
+from lodestar.llm import bpe, exact_dedup, langid, secrets, simhash, token_files, toxicity
 
 QUERIES = {
+    "op9_secrets": secrets.op9_secrets,
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_langid": langid.op6_langid,
     "op4_bpe": bpe.op4_bpe,
