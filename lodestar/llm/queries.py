@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, exact_dedup, langid, secrets, simhash, token_files, toxicity
+from lodestar.llm import bpe, exact_dedup, html_text, langid, secrets, simhash, token_files, topk, toxicity
 
 QUERIES = {
+    "op7_html": html_text.op7_html,
+    "op10_topk": topk.op10_topk,
     "op9_secrets": secrets.op9_secrets,
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_langid": langid.op6_langid,
@@ -14,5 +16,6 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 SQL = {
+    "op10_topk": topk.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
 }
