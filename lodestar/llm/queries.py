@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.llm import bpe, exact_dedup, html_text, langid, secrets, simhash, token_files, topk, toxicity
+from lodestar.llm import bpe, exact_dedup, html_text, langid, mixing, secrets, simhash, token_files, topk, toxicity
 
 QUERIES = {
+    "op8_mixing": mixing.op8_mixing,
     "op7_html": html_text.op7_html,
     "op10_topk": topk.op10_topk,
     "op9_secrets": secrets.op9_secrets,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 SQL = {
+    "op8_mixing": mixing.SQL,
     "op10_topk": topk.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
 }
