@@ -59,9 +59,13 @@ def dropped(table: DataFrame) -> None:
     """Delete a table made by ``written`` once nothing will read it again."""
     path = getattr(table, "_lodestar_path", None)
     if path:
-        spark = table.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        removed(table.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
