@@ -5,16 +5,18 @@ space, or white space between such runs. Unit boundaries are always boundaries
 of the byte-level pre-tokenizer, so a text's ids are its units' ids in order.
 
 1. ``split``: documents are gathered in blocks of bounded size; a block stores
-   the positions of its words as codes into its own list of distinct words.
-2. ``table``: the blocks' words are shuffled by word and sorted; every distinct
-   word of the corpus is encoded once, and its ids go back to the positions
-   ``(block, code)`` that asked for it.
-3. ``join``: a block's codes are joined with its words' ids; ids are joined with
-   the vocabulary's id-to-piece table to decode.
-
-A word that is in every document costs one row a block, so no key is hot. Words
+   the positions of its words as codes into its own list of distinct words,
+   which is ordered by hash bucket and word.
+2. ``word_ids``: the blocks' words are shuffled by bucket; every distinct word of
+   the corpus is encoded once, and its ids go back to the blocks that have it,
+   in the order of their lists.
+3. ``assemble``: a block's codes are joined with its words' ids; ids are joined
+   with the vocabulary's id-to-piece table to decode.
+
+A word that is in every document costs one entry a block, so no key is hot. Words
 and ids travel in packed, compressed rows, since one row a word would make the
-shuffle larger than the text.
+shuffle larger than the text; codes, the largest part, are stored in buckets of
+the block's name and joined where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, groupby
 from zlib import crc32
 
 import numpy as np
@@ -33,10 +36,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.runtime import dropped, written
+from lodestar.runtime import removed, shared_path, written
 
-#: Bytes of text after which a block is closed (a longer document has a block of its own).
-BLOCK_BYTES = 12_000_000
+#: Characters of text after which a block is closed (a longer document has a block of its own).
+BLOCK_CHARS = 24_000_000
 #: White space of Unicode, as the pre-tokenizer's regular expression has it (Python's ``\\s`` has four more).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -62,6 +65,7 @@ def byte_chars() -> list[str]:
 
 _CHARS = byte_chars()
 _BYTES = {c: b for b, c in enumerate(_CHARS)}
+_encoders: dict[str, Words] = {}
 
 
 class Words:
@@ -119,11 +123,10 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
-_BLOCK = "kind string, block string, bucket int, blob binary"
-_LEVEL = "block string, kind string, blob binary"
+_BLOCK = "block string, bucket int, blob binary, kind string"
 
 
-def split(docs: DataFrame, path: str, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def split(docs: DataFrame, path: str, buckets: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of two kinds: ``codes``, one a block, and ``words``, one a block and bucket of the words' hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +140,20 @@ def split(docs: DataFrame, path: str, buckets: int, block_bytes: int = BLOCK_BYT
 
         def close(seen, ids, sizes, codes) -> pa.RecordBatch:
             name = f"{part}-{at}"
-            by: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
-            for w, k in seen.items():
-                by[crc32(w.encode("utf-8", "surrogatepass")) % buckets].append((w, k))
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+            text = [w.encode("utf-8", "surrogatepass") for w in seen]
+            place = [crc32(t) % buckets for t in text]
+            order = sorted(range(len(text)), key=lambda k: (place[k], text[k]))
+            code = np.empty(len(order), np.uint32)
+            code[order] = np.arange(len(order), dtype=np.uint32)
+            flat = code[np.concatenate(codes)] if text else np.zeros(0, np.uint32)
             planes = flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy().tobytes()
             doc_ids = np.array([i or 0 for i in ids], "<i8").tobytes()
             nulls = np.array([i is None for i in ids], np.uint8).tobytes()
-            rows = [("codes", name, -1, _pack(doc_ids, nulls, np.array(sizes, "<u8").tobytes(), planes))]
-            for b, found in enumerate(by):
-                if found:
-                    found.sort()
-                    text = [w.encode("utf-8", "surrogatepass") for w, _ in found]
-                    rows.append(("words", name, b, _pack(np.array([k for _, k in found], "<u4").tobytes(), np.array([len(t) for t in text], "<u4").tobytes(), b"".join(text))))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary()))], ["kind", "block", "bucket", "blob"])
+            rows = [(name, -1, _pack(doc_ids, nulls, np.array(sizes, "<u8").tobytes(), planes), "codes")]
+            for b, found in groupby(order, key=place.__getitem__):
+                own = [text[k] for k in found]
+                rows.append((name, b, _pack(np.array(list(map(len, own)), "<u4").tobytes(), b"".join(own)), "words"))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.string()))], ["block", "bucket", "blob", "kind"])
 
         seen, ids, sizes, codes, filled = fresh()
         for batch in batches:
@@ -161,7 +164,7 @@ def split(docs: DataFrame, path: str, buckets: int, block_bytes: int = BLOCK_BYT
                 sizes.append(len(found))
                 codes.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
                 filled += len(text)
-                if filled >= block_bytes:
+                if filled >= block_chars:
                     yield close(seen, ids, sizes, codes)
                     at += 1
                     seen, ids, sizes, codes, filled = fresh()
@@ -172,10 +175,9 @@ def split(docs: DataFrame, path: str, buckets: int, block_bytes: int = BLOCK_BYT
 
 
 def word_ids(words: DataFrame, path: str, buckets: int) -> DataFrame:
-    """The distinct-word table, joined back: per block and bucket the codes of its words and their ids.
+    """The distinct-word table, joined back: per block and bucket the ids of its words, in order.
 
-    All copies of a word meet in one bucket, where words are merged and each
-    different one is encoded once.
+    All copies of a word meet in one bucket, where each different one is encoded once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,20 +185,18 @@ def word_ids(words: DataFrame, path: str, buckets: int) -> DataFrame:
         for bucket, rows in _runs(batches):
             encoder = encoder or Words(path)
             table: dict[bytes, bytes] = {}
-            for blob in rows():
-                _, sizes, text = _unpack(blob[1])
-                fresh = [w for w in _cut(text, sizes) if w not in table]
+            for block, blob in rows:
+                sizes, text = _unpack(blob)
+                own = _cut(text, sizes)
+                fresh = [w for w in own if w not in table]
                 for w, i in zip(fresh, encoder.encode([w.decode("utf-8", "surrogatepass") for w in fresh])):
                     table[w] = np.array(i, encoder.width).tobytes()
-            for block, blob in rows():
-                codes, sizes, text = _unpack(blob)
-                ids = [table[w] for w in _cut(text, sizes)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array(["ids"]), pa.array([_pack(codes, np.array([len(i) for i in ids], "<u4").tobytes(), b"".join(ids))], pa.binary())], ["block", "kind", "blob"]
-                )
+                ids = [table[w] for w in own]
+                packed = _pack(np.array(list(map(len, ids)), "<u4").tobytes(), b"".join(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], ["block", "bucket", "blob"])
 
     placed = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return placed.select("bucket", "block", "blob").mapInArrow(run, _LEVEL)
+    return placed.select("bucket", "block", "blob").mapInArrow(run, "block string, bucket int, blob binary")
 
 
 def _cut(text: bytes, sizes: bytes) -> list[bytes]:
@@ -204,18 +204,11 @@ def _cut(text: bytes, sizes: bytes) -> list[bytes]:
     return [text[s:e] for s, e in zip([0, *ends], ends)]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """Runs of equal bucket in sorted rows, each as a function that gives its (block, packed words) again."""
-    now, rows = None, []
-    for b in batches:
-        for bucket, block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if bucket != now and rows:
-                yield now, rows.__iter__
-                rows = []
-            now = bucket
-            rows.append((block, blob))
-    if rows:
-        yield now, rows.__iter__
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[str, bytes]]]]:
+    """Runs of equal bucket in sorted (bucket, block, blob) rows."""
+    flat = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    for bucket, rows in groupby(flat, key=lambda r: r[0]):
+        yield bucket, ((block, blob) for _, block, blob in rows)
 
 
 def assemble(codes: DataFrame, ids: DataFrame, path: str, outputs: tuple[str, ...]) -> DataFrame:
@@ -264,38 +257,22 @@ def assemble(codes: DataFrame, ids: DataFrame, path: str, outputs: tuple[str, ..
     def batch(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[types[c] for c in outputs]))], ["doc_id", *outputs])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder: Words | None = None
-        now, held = None, []
-        for b in batches:
-            for block, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if block != now and held:
-                    encoder = encoder or Words(path)
-                    yield from whole(encoder, held)
-                    held = []
-                now = block
-                held.append((kind, blob))
-        if held:
-            yield from whole(encoder or Words(path), held)
-
-    def whole(encoder: Words, held: list) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(_unpack(blob)) for kind, blob in held if kind == "ids"]
-        codes = np.concatenate([np.frombuffer(c, "<u4") for c, _, _ in parts]) if parts else np.zeros(0, np.uint32)
-        sizes = np.concatenate([np.frombuffer(s, "<u4") for _, s, _ in parts]).astype(np.int64) // np.dtype(encoder.width).itemsize if parts else np.zeros(0, np.int64)
-        tokens = np.frombuffer(b"".join(t for _, _, t in parts), encoder.width)
-        place = np.zeros(len(codes), np.int64)  # of a code, in the order in which the buckets came
-        place[codes] = np.arange(len(codes))
-        (blob,) = [blob for kind, blob in held if kind == "codes"]
-        doc_ids, nulls, counts, planes = _unpack(blob)
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        if path not in _encoders:
+            _encoders[path] = Words(path)
+        encoder = _encoders[path]
+        parts = [_unpack(blob) for _, blob in sorted(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist()))]
+        sizes = np.concatenate([np.frombuffer(s, "<u4") for s, _ in parts] or [np.zeros(0, "<u4")]).astype(np.int64) // np.dtype(encoder.width).itemsize
+        tokens = np.frombuffer(b"".join(t for _, t in parts), encoder.width)
+        doc_ids, nulls, counts, planes = _unpack(left.column("blob")[0].as_py())
         flat = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-        yield from emit(encoder, np.frombuffer(doc_ids, "<i8"), np.frombuffer(nulls, np.uint8), np.frombuffer(counts, "<u8").astype(np.int64), place[flat], sizes, tokens)
+        return pa.Table.from_batches(emit(encoder, np.frombuffer(doc_ids, "<i8"), np.frombuffer(nulls, np.uint8), np.frombuffer(counts, "<u8").astype(np.int64), flat, sizes, tokens))
 
-    both = codes.select("block", "kind", "blob").union(ids)
-    # one row a bucket and block, so a block has a bounded number of rows of bounded size
-    return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+    # a block is one row of codes and one row of ids a bucket: of bounded size
+    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(whole, schema)
 
 
-def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of ``docs``: doc_id and ``outputs``.
 
     Ids are those of the tokenizer in the JSON file ``path`` (byte-level BPE,
@@ -307,13 +284,18 @@ def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tok
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(split(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path, buckets, block_bytes), "bpe-blocks", "uncompressed")
-    words = blocks.filter("kind = 'words'").select("bucket", "block", "blob")
-    codes = blocks.filter("kind = 'codes'").select("block", "kind", "blob")
-    ids = word_ids(words, path, buckets)
-    out = written(assemble(codes, ids, path, outputs), "bpe-out")
-    dropped(blocks)
-    return out
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    store = split(rows, path, buckets, block_chars).write.partitionBy("kind").bucketBy(buckets, "block").sortBy("block")
+    place = shared_path(spark, "bpe-blocks")
+    store.option("path", place).option("compression", "uncompressed").saveAsTable(name)
+    try:
+        words = spark.table(name).filter("kind = 'words'").select("bucket", "block", "blob")
+        codes = spark.table(name).filter("kind = 'codes'").select("block", "blob")
+        return written(assemble(codes, word_ids(words, path, buckets), path, outputs), "bpe-out")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(spark, place)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
