@@ -1,0 +1,150 @@
+"""Toxicity, language ID, secrets: held-out accuracy, contracts, edge cases."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import langid, queries, secrets, toxicity
+
+EDGES = [(1, None), (2, ""), (3, "123 !!"), (4, "x" * 50000), (4, "the words of a text"), (4, "the words of a text"), (None, "une phrase de texte"), (6, "中文"), (7, "é")]
+
+
+def edges(spark):
+    return spark.createDataFrame(EDGES, "doc_id long, text string").withColumns({"score": F.lit("s"), "predicted": F.lit(9), "lang_pred": F.lit("q"), "names": F.lit(0)})
+
+
+def test_machine_learns_a_pair():
+    """A label that needs both of two terms: no additive weights can give it."""
+    rng = random.Random(1)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(sorted(({0} if a else set()) | ({1} if b else set()) | {rng.randrange(2, 8)}))
+        y.append(float(a != b))
+    m = toxicity.Machine(list(range(8)))
+    m.fit(rows, np.array(y), np.ones(len(y)), epochs=40, l2=1e-5)
+    assert ((m.score(rows) >= 0.5) == np.array(y)).mean() > 0.95
+
+
+def test_raw_score_is_the_formula():
+    m = toxicity.Machine(list(range(6)), 0.3, seed=2)
+    m.w[:6] = np.arange(6) / 10
+    rows = [[], [2], [0, 3, 5], [1, 2, 3, 4]]
+    want = [0.3 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for k, i in enumerate(r) for j in r[k + 1 :]) for r in rows]
+    assert np.allclose(m.raw(rows), want)
+
+
+def test_toxicity_held_out(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    out = queries.QUERIES["op1_toxicity"](spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and out.count() == docs.count()
+    j = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("a"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    assert j.a > 0.9 and 0 <= j.lo and j.hi <= 1
+
+
+def test_toxicity_edges(spark):
+    words = ["good", "nice", "fine"]
+    docs = spark.createDataFrame([(i, " ".join(words + (["vilest"] if i % 2 else []))) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(0, None), (5, 1)], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels)
+    got = toxicity.score(edges(spark), m).collect()
+    assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score(spark.createDataFrame([(1, "vilestness nice")], "doc_id long, text string"), m).first().predicted == 1
+    empty = toxicity.train(docs, labels.limit(0))
+    assert {r.score for r in toxicity.score(edges(spark), empty).collect()} == {0.5}
+    assert toxicity.score(docs.limit(0), m).count() == 0
+
+
+def test_language_held_out(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    out = queries.QUERIES["op6_langid"](spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == docs.count()
+    assert out.join(docs, "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+def test_held_out_rule(spark):
+    from zlib import crc32
+
+    ids = spark.range(500).select(F.col("id").alias("doc_id"), langid.held_out().alias("h"))
+    assert all(r.h == (crc32(str(r.doc_id).encode()) % 5 == 0) for r in ids.collect())
+
+
+def test_language_edges(spark):
+    docs = spark.createDataFrame([(i, ["the house and the garden of them", "das haus und der garten von ihnen"][i % 2] * 3, ["en", "de"][i % 2]) for i in range(80)] + [(1000, "zz", None)], "doc_id long, text string, lang string")
+    net = langid.train(docs)
+    assert net.langs == ["de", "en"]
+    got = langid.predict(edges(spark), net).collect()
+    assert len(got) == len(EDGES)
+    by = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in got}
+    assert by[1, None] == by[2, ""] == by[3, "123 !!"] == ("und", 0.0)
+    assert by[4, "the words of a text"][0] == "en" and by[6, "中文"][0] in net.langs
+    assert {r.lang_pred for r in langid.predict(edges(spark), langid.train(docs.limit(0))).collect()} == {"und"}
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id < 1000").count() == 80
+    assert langid.predict(docs.limit(0), net).count() == 0
+
+
+def test_whole_text_counts(spark):
+    """A long text whose beginning is in another language is judged by all of it."""
+    docs = spark.createDataFrame([(i, ["the house and the garden of them", "das haus und der garten von ihnen"][i % 2] * 9, ["en", "de"][i % 2]) for i in range(80)], "doc_id long, text string, lang string")
+    net = langid.train(docs)
+    text = "the house and the garden of them " * 40 + "das haus und der garten von ihnen " * 4000
+    assert net.predict([text])[0][0] == "de"
+
+
+def base_brute(t):
+    a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+def test_base_spans_random():
+    rng = random.Random(4)
+    parts = ["password", "PASSWD", "toKen", "api_key", "apikey", "\"", "'", " ", ":", "=", "AKIA", "ABCDEF0123456789", "abcdef0123456789", "deadbeef", "x", "é", "K", "ſ", "+/", "\n", "-"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert secrets.base_spans(t) == base_brute(t)
+
+
+def test_secrets_find_new_spans(spark):
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"some words password={key(18)} and more mail{i % 9}.example.com at 10.0.0.{i % 200} done") for i in range(300)]
+    rows += [(1000, "a stray 12ab34cd56ef78ab90 here"), (1001, None), (1002, ""), (1003, "plain words only"), (1003, "plain words only"), (1004, "y" * 100000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))
+    got = {r.doc_id: r for r in secrets.scan(docs, secrets.train(docs)).collect()}
+    assert got[1000].spans == "like:8:26" and got[1000].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert all(got[i].spans.count(",") == 0 and got[i].n_assign == 1 for i in range(300))
+    assert all(got[i].spans == "" for i in (1001, 1002, 1003, 1004))
+    assert secrets.scan(docs.limit(0), secrets.train(docs.limit(0))).count() == 0
+
+
+def test_automaton_merges_and_scores():
+    a = secrets.Automaton.inferred(["ab" * k for k in range(1, 9) for _ in range(2 ** (10 - k))])
+    states = set()
+    todo = [0]
+    while todo:
+        q = todo.pop()
+        if q not in states:
+            states.add(q)
+            todo += a.next[q].values()
+    assert len(states) < 8 and a.bits("abab") > a.bits("aabb")
+
+
+@pytest.mark.parametrize("name", ["op9_secrets"])
+def test_secret_query(spark, sf, name):
+    got = queries.QUERIES[name](spark, sf).collect()
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in got:
+        base = base_brute(text[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        assert set(secrets.joined(base).split(",")) - {""} <= set(r.spans.split(","))
