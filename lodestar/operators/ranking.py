@@ -103,3 +103,29 @@ def greedy_cover(links: DataFrame, record: str, item: str, wanted, n: int) -> Da
         out.append((step, best[record], best["gain"]))
         left = sorted(set(left) - set(best["items"]))
     return spark.createDataFrame(out, "step int, record long, gain long")
+
+
+def greedy_clusters(rows: DataFrame, keys: list[str], key: str, items: str, least: float) -> DataFrame:
+    """Each row, in order of ``key``, joins the first cluster whose union of items is similar enough: (keys, id, cluster).
+
+    The result depends on the order, so a group is folded as one; its rows carry
+    small sets. A cluster is named by its first member.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)
+        names: list[int] = []
+        unions: list[set] = []
+        out = []
+        for i, own in zip(pdf[key], map(set, pdf[items])):
+            at = next((k for k, u in enumerate(unions) if len(u & own) >= least * len(u | own)), None)
+            if at is None:
+                at = len(names)
+                names.append(int(i))
+                unions.append(set())
+            unions[at] |= own
+            out.append(names[at])
+        return pd.DataFrame({**{k: pdf[k] for k in keys}, "id": pdf[key], "cluster": out})
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", id long, cluster long")

@@ -8,7 +8,7 @@ from importlib import import_module
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 #: Modules whose import registers queries.
-MODULES = ("filters", "joins", "aggregates", "windows", "retrieval", "graphs", "temporal", "texts", "streams")
+MODULES = ("filters", "joins", "aggregates", "windows", "retrieval", "graphs", "temporal", "texts", "streams", "extras")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
