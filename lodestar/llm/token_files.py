@@ -38,54 +38,62 @@ MAGIC = b"LDSTRTK1"
 #: Ids in a chunk.
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _RUNS = re.compile(f"[^{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 _encoders: dict[str, RunEncoder] = {}
 
 
+class _Known(dict):
+    """Ids by run; a run that is new is encoded when it is first asked for."""
+
+    def __init__(self, owner: RunEncoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self[run] = self.owner.learn(run)
+        return ids
+
+
 class RunEncoder:
     """Encodes texts run by run (without white space), remembering a bounded number of runs.
 
     For tokenizers that drop white space: a text's ids are those of its runs.
+    Runs of Latin letters with punctuation behind are put together from their
+    lower-case letters and the punctuation, which the library's BPE model
+    encodes apart; other runs go through its whole pipeline.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
-        self.tok, self.limit = tokenizer(path), cache // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.chars = 0
+        self.tok, self.limit, self.chars = tokenizer(path), cache // 2, 0
+        self.model = self.tok.model
+        self.young, self.old = _Known(self), {}
+
+    def learn(self, run: str) -> bytes:
+        self.chars += len(run)
+        known = self.old.get(run)
+        if known is not None:
+            return known
+        m = _LETTERS.fullmatch(run)
+        if m is None:
+            ids = self.tok.encode(run, add_special_tokens=False).ids
+        else:
+            letters, mark = m.groups()
+            stem = letters.lower()
+            if stem != run:
+                return self.young[stem] + self.young[mark] if mark else self.young[stem]
+            ids = [t.id for t in self.model.tokenize("".join([_CHARS[b] for b in stem.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         runs = text.split() if _ODD.search(text) is None else _RUNS.findall(text)
-        ids = list(map(self.young.get, runs))
-        if None in ids:
-            self._learn({w for w, i in zip(runs, ids) if i is None})
-            ids = list(map(self.young.__getitem__, runs))
-            if len(self.young) > self.limit or self.chars > 32 * self.limit:
-                self.old, self.young, self.chars = self.young, {}, 0
-        return b"".join(ids)
-
-    def _learn(self, runs: set[str]) -> None:
-        slow, model = [], self.tok.model
-        self.chars += sum(map(len, runs))
-        for w in runs:
-            known = self.old.get(w)
-            if known is None:
-                m = _LETTERS.fullmatch(w)
-                if m is None:
-                    slow.append(w)
-                    continue
-                letters, mark = m.groups()
-                ids = [t.id for t in model.tokenize("".join([_CHARS[b] for b in letters.lower().encode()]))]
-                if mark:
-                    ids += [t.id for t in model.tokenize(mark)]
-                known = np.array(ids, "<u4").tobytes()
-            self.young[w] = known
-        for w, e in zip(slow, self.tok.encode_batch_fast(slow, add_special_tokens=False)):
-            self.young[w] = np.array(e.ids, "<u4").tobytes()
+        out = b"".join(map(self.young.__getitem__, runs))
+        if len(self.young) > self.limit or self.chars > 32 * self.limit:
+            self.old, self.young, self.chars = dict(self.young), _Known(self), 0
+        return out
 
 
 def encoder(path: str) -> RunEncoder:
