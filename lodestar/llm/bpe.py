@@ -108,6 +108,13 @@ class Words:
         return out  # type: ignore[return-value]
 
 
+def words_of(path: str) -> Words:
+    """One ``Words`` a worker process and tokenizer, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Words(path)
+    return _encoders[path]
+
+
 def _pack(*arrays: bytes) -> bytes:
     """Byte strings one after another behind their lengths, compressed."""
     return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(arrays) + 1}Q", len(arrays), *map(len, arrays)) + b"".join(arrays))
@@ -132,7 +139,7 @@ def split(docs: DataFrame, path: str, buckets: int, block_chars: int = BLOCK_CHA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part, at = Words(path), TaskContext.get().partitionId(), 0
+        words, part, at = words_of(path), TaskContext.get().partitionId(), 0
 
         def fresh():
             seen: defaultdict[str, int] = defaultdict(count().__next__)
@@ -141,18 +148,25 @@ def split(docs: DataFrame, path: str, buckets: int, block_chars: int = BLOCK_CHA
         def close(seen, ids, sizes, codes) -> pa.RecordBatch:
             name = f"{part}-{at}"
             text = [w.encode("utf-8", "surrogatepass") for w in seen]
-            place = [crc32(t) % buckets for t in text]
-            order = sorted(range(len(text)), key=lambda k: (place[k], text[k]))
-            code = np.empty(len(order), np.uint32)
-            code[order] = np.arange(len(order), dtype=np.uint32)
+            seen.clear()
+            own: list[list[int]] = [[] for _ in range(buckets)]
+            for k, t in enumerate(text):
+                own[crc32(t) % buckets].append(k)
+            code, at_code = np.empty(len(text), np.uint32), 0
+            for found in own:
+                found.sort(key=text.__getitem__)
+                code[found] = np.arange(at_code, at_code + len(found), dtype=np.uint32)
+                at_code += len(found)
             flat = code[np.concatenate(codes)] if text else np.zeros(0, np.uint32)
-            planes = flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy().tobytes()
+            codes.clear()
+            planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             doc_ids = np.array([i or 0 for i in ids], "<i8").tobytes()
             nulls = np.array([i is None for i in ids], np.uint8).tobytes()
             rows = [(name, -1, _pack(doc_ids, nulls, np.array(sizes, "<u8").tobytes(), planes), "codes")]
-            for b, found in groupby(order, key=place.__getitem__):
-                own = [text[k] for k in found]
-                rows.append((name, b, _pack(np.array(list(map(len, own)), "<u4").tobytes(), b"".join(own)), "words"))
+            for b, found in enumerate(own):
+                if found:
+                    held = [text[k] for k in found]
+                    rows.append((name, b, _pack(np.array(list(map(len, held)), "<u4").tobytes(), b"".join(held)), "words"))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.string()))], ["block", "bucket", "blob", "kind"])
 
         seen, ids, sizes, codes, filled = fresh()
@@ -183,7 +197,7 @@ def word_ids(words: DataFrame, path: str, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder: Words | None = None
         for bucket, rows in _runs(batches):
-            encoder = encoder or Words(path)
+            encoder = encoder or words_of(path)
             table: dict[bytes, bytes] = {}
             for block, blob in rows:
                 sizes, text = _unpack(blob)
@@ -258,9 +272,7 @@ def assemble(codes: DataFrame, ids: DataFrame, path: str, outputs: tuple[str, ..
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[types[c] for c in outputs]))], ["doc_id", *outputs])
 
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
-        if path not in _encoders:
-            _encoders[path] = Words(path)
-        encoder = _encoders[path]
+        encoder = words_of(path)
         parts = [_unpack(blob) for _, blob in sorted(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist()))]
         sizes = np.concatenate([np.frombuffer(s, "<u4") for s, _ in parts] or [np.zeros(0, "<u4")]).astype(np.int64) // np.dtype(encoder.width).itemsize
         tokens = np.frombuffer(b"".join(t for _, t in parts), encoder.width)
