@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.runtime import written
+
 TOKEN = r"(\w+)"
 
 
@@ -31,7 +33,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     sized = docs.select(key, tokens(F.col(text)).alias("ts")).select(key, F.size("ts").alias("dl"), "ts")
     stats = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     cut = sized.select(key, "dl", F.explode("ts").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = cut.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tf = written(cut.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")  # read twice
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     hits = tf.join(df, "term").join(q, "term").join(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
