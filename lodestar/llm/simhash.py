@@ -156,14 +156,16 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     return small.union(large).distinct()
 
 
-def components(rows: DataFrame, bits: int = 2) -> DataFrame:
+def components(rows: DataFrame, bits: int = 2, more: DataFrame | None = None) -> DataFrame:
     """Add ``component_id`` (smallest doc_id reachable over links) and ``keep_uid`` to ``(doc_id, uid, fp)`` rows.
 
+    ``more`` has further links ``(src, dst)`` between fingerprints.
     The row that stays is the one with the smallest ``(doc_id, uid)``; null ids come last.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     per_fp = written(rows.groupBy("fp").agg(first.alias("first")), "distinct-fp")
-    found = written(connected_components(links(per_fp, bits)), "fp-components")
+    near = links(per_fp, bits)
+    found = written(connected_components(near if more is None else near.union(more)), "fp-components")
     rooted = per_fp.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     linked = rooted.groupBy("component").agg(F.min("first").alias("root"))
     labels = rooted.join(linked, "component").select("fp", F.col("root.doc_id").alias("component_id"), F.col("root.uid").alias("keep_uid"))
@@ -187,10 +189,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", hexed.alias("fingerprint"), "component_id", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component (smallest id), all columns kept."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, more: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component (smallest id), all columns kept; ``more`` as in ``components``."""
     rows = fingerprints(docs, id_col, text_col, shingle, keyed=True)
-    marked = written(components(rows, bits), "near-groups")
+    marked = written(components(rows, bits, more), "near-groups")
     keeps = marked.filter("uid = keep_uid").select(F.col("doc_id").alias("i"), F.col("digest").alias("g"))
     lost = marked.filter("uid != keep_uid").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     same = F.col("_id").eqNullSafe(F.col("i")) & (F.col("_digest") == F.col("g"))

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import exact_dedup, simhash
+import corpus_pipeline
+from lodestar.llm import exact_dedup, shingles, simhash
 from lodestar.operators.components import connected_components
 
 TEXTS = ["same text here now", "same text here now", "same text here now", "", None, "other", "Other", " ", "x" * 20000, "é ñ\n中文 \U0001f600", "same text here now"]
@@ -169,3 +170,42 @@ def test_drop_near_copies(spark):
     out = simhash.drop_near_copies(frame(spark, rows, True))
     assert out.columns == ["doc_id", "text", "digest", "fp", "uid", "kept", "_salt"]
     assert sorted(r.doc_id for r in out.collect()) == [2, 3, 11, 11]
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("frequent", [0, 200_000])
+def test_pipeline_near_copies_brute_force(spark, monkeypatch, frequent):
+    """Near copies around five-word Jaccard 0.8, most of them beyond two bits, among texts that share a long passage."""
+    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    rng, rows = random.Random(3), []
+    shared = [f"s{k}" for k in range(40)]
+    for g in range(30):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.choice([4, 9, 40, 120, 300]))] + shared * (g % 2)
+        for edits in (0, 1, 1, 2, 3, 5):
+            now = list(base)
+            for _ in range(edits):
+                now[rng.randrange(len(now))] = f"e{rng.randrange(900)}"
+            rows.append((len(rows), " ".join(now)))
+    rows = [(i, t) for i, t in rows if t not in {u for j, u in rows if j < i}]
+    fp = {i: simhash.fingerprint(t) for i, t in rows}
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if jaccard(x, y) >= 0.8}
+    far = {p for p in want if (fp[p[0]] ^ fp[p[1]]).bit_count() > 2}
+    assert len(far) > 30
+    got = {frozenset((r.src % 2**64, r.dst % 2**64)) for r in shingles.similar(frame(spark, rows)).collect()}
+    assert got == {frozenset((fp[a], fp[b])) for a, b in want if fp[a] != fp[b]}
+    group = {i: i for i, _ in rows}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in want | {p for p in itertools.combinations(group, 2) if (fp[p[0]] ^ fp[p[1]]).bit_count() <= 2}:
+        x, y = sorted((find(a), find(b)))
+        group[y] = x
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, frame(spark, rows), "").collect()}
+    assert kept == {find(i) for i in group}
