@@ -85,20 +85,40 @@ def cosine_join(vectors: DataFrame, key: str, vector: str, least: float, group:
     return both.mapInArrow(compare, "a long, b long, sim double")
 
 
-def ratio_join(records: DataFrame, key: str, text: str, group: str, least: float) -> DataFrame:
-    """Pairs of one group whose Ratcliff-Obershelp ratio is at least ``least``.
-
-    Candidates share one of the text's rarest words, or its first characters;
-    lengths that exclude the ratio are dropped before it is computed.
+def ratio_join(records: DataFrame, key: str, text: str, group: str, least: float, block: int = 256) -> DataFrame:
+    """Pairs of one group whose Ratcliff-Obershelp ratio is at least ``least``, exactly.
+
+    Records are packed in blocks and the blocks of a group are paired, so each
+    task holds two bounded blocks. A pair's ratio is computed only if its
+    lengths and the characters it has in common, which bound the ratio, allow
+    ``least``. The work is quadratic in the group, as exactness asks for. Null
+    texts and groups pair with none.
     """
-    t = records.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(group).alias("g"))
-    keys = t.select("id", "g", F.explode(F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("w"))
-    pairs = keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), ["g", "w"]).filter("a < b").select("a", "b").distinct()
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    both = both.filter(2 * F.least(F.length("ta"), F.length("tb")) >= least * (F.length("ta") + F.length("tb")))
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+    t = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.col(group).alias("g")).filter("t is not null and g is not null")
+    lane = F.pmod(F.xxhash64("id"), F.lit(16))
+    t = t.withColumn("blk", F.floor((F.row_number().over(W.partitionBy("g", lane).orderBy("id")) - 1) / block) * 16 + lane)
+    blocks = t.groupBy("g", "blk").agg(F.collect_list(F.struct("id", "t")).alias("r"))
+    both = blocks.toDF("g", "b1", "r1").join(blocks.toDF("g", "b2", "r2"), "g").filter("b1 <= b2").select((F.col("b1") == F.col("b2")).alias("own"), "r1", "r2")
+    # few blocks hold many pairs: without this, coalesced partitions leave them to a few tasks
+    both = both.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    return both.withColumn("ratio", ratio("ta", "tb")).filter(F.col("ratio") >= least).select("a", "b", F.round("ratio", 6).alias("ratio"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = difflib.SequenceMatcher()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, left, right = (c[i].as_py() for c in batch.columns)
+                found = []
+                for y in right:
+                    m.set_seq2(y["t"])  # what the second text costs is paid once
+                    for x in left:
+                        if x["id"] < y["id"]:
+                            m.set_seq1(x["t"])
+                            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (s := m.ratio()) >= least:
+                                found.append((x["id"], y["id"], s))
+                        elif x["id"] > y["id"] and not own:  # the ratio depends on the order
+                            z = difflib.SequenceMatcher(None, y["t"], x["t"])
+                            if z.real_quick_ratio() >= least and z.quick_ratio() >= least and (s := z.ratio()) >= least:
+                                found.append((y["id"], x["id"], s))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "ratio"])
+
+    return both.mapInArrow(compare, "a long, b long, ratio double").select("a", "b", F.round("ratio", 6).alias("ratio"))

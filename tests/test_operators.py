@@ -66,6 +66,25 @@ def test_ratio_join(spark):
     assert got == {(a, b) for a, b in itertools.combinations(t, 2) if difflib.SequenceMatcher(None, t[a], t[b]).ratio() >= 0.8}
 
 
+def test_ratio_join_without_shared_words(spark, sf):
+    """J24 and J25 on parts, and texts whose every word has a typo, against brute force."""
+    from lodestar.plans import registry
+
+    def brute(rows, least):
+        pairs = ((a, b, difflib.SequenceMatcher(None, x, y).ratio()) for (a, x, g), (b, y, h) in itertools.permutations(rows, 2) if a < b and g == h)
+        return {(a, b, round(r, 6)) for a, b, r in pairs if r >= least}
+
+    typos = [(2, "fxi the parsre", "g"), (1, "fix teh parser", "g"), (3, "fix teh parser", "h"), (4, "", "g"), (5, "", "g")]
+    for block in (1, 256):
+        got = similarity.ratio_join(spark.createDataFrame(typos, "id long, t string, g string"), "id", "t", "g", 0.7, block).collect()
+        assert {tuple(r) for r in got} == brute(typos, 0.7) and len(got) == 2
+    part = spark.read.parquet(f"{sf}/part.parquet").collect()
+    got = {tuple(r) for r in registry.queries()["J24_contradictions"](spark, sf).collect()}
+    assert got == {p for p in brute([(r.p_partkey, f"{r.p_name} {r.p_type}", r.p_brand) for r in part], 0.2) if p[2] < 0.6} and got
+    got = {tuple(r) for r in registry.queries()["J25_difflib_duplicates"](spark, sf).collect()}
+    assert got == brute([(r.p_partkey, r.p_name, r.p_brand) for r in part], 0.85)
+
+
 def test_overlap_join(spark):
     rng = random.Random(2)
     r = [(i, x := rng.randrange(100), x + rng.randrange(40)) for i in range(40)]
