@@ -61,8 +61,9 @@ def fuzzy(spark, sf):
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
     k = T.knowledge(spark, sf).orderBy(F.desc("confirmed"), "id").limit(250).select("id", F.substring("content", 1, 200).alias("head"))
-    q = T.table(spark, sf, "benchmark").orderBy("item_id").limit(1).select("item_id", F.substring("text", 1, 200).alias("q"))
-    s = k.join(F.broadcast(q)).withColumn("score", ratio("q", "head") * 0.6)  # the 250 last confirmed, one query
+    k = k.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q = T.table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 200).alias("q"))
+    s = k.join(F.broadcast(q)).withColumn("score", ratio("q", "head") * 0.6)  # the 250 last confirmed, every stated query
     return s.filter("score > 0.05").select("item_id", "id", F.round("score", 6).alias("score"))
 
 

@@ -169,3 +169,17 @@ def test_chunks_bounded_and_complete(t, kind):
 def test_html_lines():
     assert text.html_lines("<p>a &amp; b</p><script>x</script><div>c</div>") == "a & b\nc"
     assert text.html_lines(None) == ""
+
+
+def test_fuzzy_tier_asks_every_item(spark, sf):
+    from lodestar.plans import registry
+    from lodestar.sources import tables
+
+    items = {r.item_id: r.text[:200] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    records = tables.knowledge(spark, sf).orderBy(F.desc("confirmed"), "id").limit(250).collect()
+    got = {(r.item_id, r.id): r.score for r in registry.queries()["F05_fuzzy_tier"](spark, sf).collect()}
+    assert {i for i, _ in got} == set(items)
+    for i in (min(items), max(items)):
+        scores = {(i, r.id): difflib.SequenceMatcher(None, items[i], r.content[:200]).ratio() * 0.6 for r in records}
+        own = {k: v for k, v in got.items() if k[0] == i}
+        assert set(own) == {k for k, v in scores.items() if v > 0.05} and all(abs(v - scores[k]) < 1e-6 for k, v in own.items())
