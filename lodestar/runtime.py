@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -68,6 +68,14 @@ def removed(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``c0, c1, ...``: names that an operator adds can't clash with them.
+
+    ``toDF(*names)`` on the result of the work gives the caller's names back.
+    """
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has been counted to hold few rows, else unchanged.
 
