@@ -1,24 +1,28 @@
-"""HTML extraction: structure first, then nearest-URL page differencing.
-
-A page is cut into blocks of text. Blocks inside ``<article>`` or ``<main>`` are
-content; blocks inside menus, headers, footers, sidebars, notices, adverts,
-forms and comment lists are not; the others are open. Open blocks are decided
-by differencing: the pages of a host are put in order of their URL paths, a
-page is aligned with its nearest neighbour by the longest common subsequence of
-their lines, and shared lines, the site's template, are deleted.
-
-Differencing alone gives wrong results where copies of one article stand next
-to each other (everything is shared) and where adverts differ by page (nothing
-is), so a marked article is kept whole and marked furniture goes without a vote.
+"""HTML extraction: nearest-URL page differencing with structure as a veto.
+
+A page is cut into lines, one a block of text. The pages of a host are put in
+order of their URL paths; a page is paired with the neighbour whose path has
+the longer common beginning, both pages' lines are aligned by the longest common
+subsequence, and shared lines, the site's template, are deleted. Every line of
+every page takes part.
+
+Differencing alone can't give right results where adverts and menus differ by
+page (nothing is shared, all of them stay) or where copies of one article stand
+next to each other (everything is shared, all of it goes). So each line also
+has a kind from the page's structure: a line inside ``<article>`` or ``<main>``
+stays though it is shared, a line inside a menu, header, footer, sidebar,
+notice, advert, form or comment list goes though it is not, and if a page has
+an article, so do the lines outside. All other lines are decided by
+differencing. ``n_shared`` counts the lines that a neighbour deleted.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +49,7 @@ _NAMES = {
     "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "comment", "comments", "disqus", "respond", "replies", "form", "search", "widget", "pagination", "pager", "skip", "toolbar",
 }
 _WHITE = re.compile(r"\s+")
-MAIN, OPEN = 1, 0
+FURNITURE, OPEN, MAIN = 0, 1, 2
 
 
 def _furniture(tag: str, attributes: str) -> bool:
@@ -65,15 +69,17 @@ def _furniture(tag: str, attributes: str) -> bool:
 
 
 def blocks(source: str | None) -> list[tuple[int, str]]:
-    """``(MAIN or OPEN, text)`` of the blocks that are not furniture, in page order.
+    """``(FURNITURE, OPEN or MAIN, text)`` of the blocks in page order.
 
-    Character references are decoded once, white space becomes one space.
-    Elements that never close end with the page; a furniture element ends with
-    its own end tag, or with that of an element around it.
+    Character references are decoded once, white space becomes one space. What
+    scripts, styles and other raw elements hold is no text. Elements that never
+    close end with the page; a furniture element ends with its own end tag, or
+    with that of an element around it.
     """
     out: list[tuple[int, str]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, main
+    held: dict[str, int] = {}  # how often a tag is on the stack
     page, at, off, main = source or "", 0, 0, 0
 
     def close() -> None:
@@ -81,11 +87,14 @@ def blocks(source: str | None) -> list[tuple[int, str]]:
             clean = _WHITE.sub(" ", "".join(text)).strip()
             text.clear()
             if clean:
-                out.append((MAIN if main else OPEN, clean))
+                out.append((FURNITURE if off else MAIN if main else OPEN, clean))
 
     def pop() -> None:
         nonlocal off, main
-        _, f, m = stack.pop()
+        tag, f, m = stack.pop()
+        held[tag] -= 1
+        if f or m:
+            close()
         off -= f
         main -= m
 
@@ -93,10 +102,9 @@ def blocks(source: str | None) -> list[tuple[int, str]]:
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
-            if not off:
-                text.append(html.unescape(page[at:]))
+            text.append(html.unescape(page[at:]))
             break
-        if m.start() > at and not off:
+        if m.start() > at:
             text.append(html.unescape(page[at : m.start()]))
         at = m.end()
         tag = m.group(2)
@@ -106,7 +114,7 @@ def blocks(source: str | None) -> list[tuple[int, str]]:
         if m.group(1):
             if tag in _BREAKS:
                 close()
-            if any(t == tag for t, _, _ in reversed(stack)):
+            if held.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -116,8 +124,7 @@ def blocks(source: str | None) -> list[tuple[int, str]]:
             at = end.end() if end else size
             continue
         if tag == "br":
-            if not off:
-                text.append(" ")
+            text.append(" ")
             continue
         if tag in _BREAKS:
             close()
@@ -128,7 +135,10 @@ def blocks(source: str | None) -> list[tuple[int, str]]:
         furniture, content = _furniture(tag, m.group(3)), tag in _MAIN
         if not (furniture or content) and tag not in _BREAKS:
             continue  # inline elements need no place on the stack
+        if furniture or content:
+            close()
         stack.append((tag, furniture, content))
+        held[tag] = held.get(tag, 0) + 1
         off += furniture
         main += content
     close()
@@ -142,116 +152,186 @@ def _line(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+#: Bits of an alignment's table that are held at once (32 MB); larger tables are cut in halves.
+TABLE_BITS = 1 << 28
+
+
+def _table(a: list[int], b: list[int]) -> list[int]:
+    """Row by row of ``a`` the columns of the LCS table as bits: a zero where the length steps up."""
+    where: dict[int, int] = {}
+    for k, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << k
+    mask, v, rows = (1 << len(b)) - 1, (1 << len(b)) - 1, []
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & mask
+        rows.append(v)
+    return rows
+
+
+def _steps(a: list[int], b: list[int]) -> np.ndarray:
+    """LCS lengths of all of ``a`` with each beginning of ``b``, from the last row of the table alone."""
+    where: dict[int, int] = {}
+    for k, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << k
+    mask = v = (1 << len(b)) - 1
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & mask
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
     """Which lines of ``a`` lie on a longest common subsequence with ``b``.
 
-    Equal beginnings and ends are matched first; the rest by patience on the
-    positions of ``b`` (longest increasing run), so memory stays linear.
+    Equal beginnings and ends are matched first. The rest is aligned by rows of
+    bits: time is len(a) * len(b) / 64 whatever repeats, and memory at most
+    ``TABLE_BITS`` (a larger table is cut at the middle of ``a``).
     """
     keep = [False] * len(a)
-    i, n, m = 0, len(a), len(b)
-    while i < min(n, m) and a[i] == b[i]:
-        keep[i] = True
-        i += 1
-    j = 0
-    while j < min(n, m) - i and a[n - 1 - j] == b[m - 1 - j]:
-        keep[n - 1 - j] = True
-        j += 1
-    where: dict[int, list[int]] = {}
-    for k in range(i, m - j):
-        where.setdefault(b[k], []).append(k)
-    tails: list[int] = []  # smallest position that ends a run of each length
-    ends: list[tuple[int, object]] = []
-    for k in range(i, n - j):
-        for p in reversed(where.get(a[k], ())):
-            t = bisect_left(tails, p)
-            node = (k, ends[t - 1] if t else None)
-            if t == len(tails):
-                tails.append(p)
-                ends.append(node)
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, k, m = todo.pop()
+        while i < n and k < m and a[i] == b[k]:
+            keep[i] = True
+            i, k = i + 1, k + 1
+        while i < n and k < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            keep[n] = True
+        if i == n or k == m:
+            continue
+        if (n - i) * (m - k) > TABLE_BITS and n - i > 1:
+            half = (i + n) // 2
+            best = int(np.argmax(_steps(a[i:half], b[k:m]) + _steps(a[half:n][::-1], b[k:m][::-1])[::-1]))
+            todo += [(i, half, k, k + best), (half, n, k + best, m)]
+            continue
+        rows, row, col = _table(a[i:n], b[k:m]), n - i, m - k
+        while row and col:
+            if rows[row - 1] >> (col - 1) & 1:
+                col -= 1  # the length doesn't step up at this column
+            elif row > 1 and not rows[row - 2] >> (col - 1) & 1:
+                row -= 1  # it did so a row before
             else:
-                tails[t] = p
-                ends[t] = node
-    node = ends[-1] if ends else None
-    while node:
-        keep[node[0]] = True
-        node = node[1]
+                row, col = row - 1, col - 1
+                keep[i + row] = True
     return keep
 
 
-def _neighbours(pages: DataFrame) -> DataFrame:
-    """``(uid, near)`` of each page that has open lines: the nearest page of its host by URL path.
+def _neighbours(pages: DataFrame, sides: DataFrame) -> DataFrame:
+    """``(uid, before, after)`` of (uid, host, path, content) rows: the pages next to each in its host's order of paths.
 
-    Narrow rows are sorted over all tasks by host and path and numbered, so a
-    host of any size is spread; a page is paired with the row before it in the
-    order, or with the one after where none before shares its host.
+    ``sides`` has ``(near, side)``, what is told of a neighbour by its uid.
+    Pages of a host with equal content count as one page, that of the least
+    path. Narrow rows are sorted over all tasks by host and path and numbered,
+    so a host of any size is spread; a page of many copies is reduced and looked
+    up in salted cells.
     """
-    order = written(pages.select("host", "path", "uid").repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid").withColumn("n", F.monotonically_increasing_id()), "page-order")
+    keyed = pages.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(32)).cast("int"))
+    cells = keyed.groupBy("host", "content", "salt").agg(F.min(F.struct("path", "uid")).alias("first"))
+    once = cells.groupBy("host", "content").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts")).select("host", "content", "first.path", "first.uid", "salts")
+    order = written(once.repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid").withColumn("n", F.monotonically_increasing_id()), "page-order")
     sizes = {r["part"]: r["count"] for r in order.groupBy(F.shiftright("n", 33).alias("part")).count().collect()}  # one row a partition
     firsts, total = {}, 0
     for part in sorted(sizes):
         firsts[part] = total
         total += sizes[part]
-    if not total:
-        return order.select("uid", F.col("uid").alias("near")).limit(0)
     place = order.sparkSession.createDataFrame(sorted(firsts.items()), "part long, first long")
-    at = order.withColumn("part", F.shiftright("n", 33)).join(F.broadcast(place), "part").select("host", "uid", (F.col("first") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
-    before = at.select((F.col("n") + 1).alias("n"), F.col("host").alias("h0"), F.col("uid").alias("u0"))
-    after = at.select((F.col("n") - 1).alias("n"), F.col("host").alias("h1"), F.col("uid").alias("u1"))
+    at = order.withColumn("part", F.shiftright("n", 33)).join(F.broadcast(place), "part").select("host", "content", "uid", "salts", (F.col("first") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
+    told = at.select("n", "host", F.col("uid").alias("near")).join(sides, "near").drop("near")
+    before = told.select((F.col("n") + 1).alias("n"), F.col("host").alias("h0"), F.col("side").alias("s0"))
+    after = told.select((F.col("n") - 1).alias("n"), F.col("host").alias("h1"), F.col("side").alias("s1"))
     both = at.join(before, "n", "left").join(after, "n", "left")
-    near = F.when(F.col("h0") == F.col("host"), F.col("u0")).when(F.col("h1") == F.col("host"), F.col("u1"))
-    return both.select("uid", near.alias("near"))
+    near = both.select("host", "content", F.explode("salts").alias("salt"), F.when(F.col("h0") == F.col("host"), F.col("s0")).alias("before"), F.when(F.col("h1") == F.col("host"), F.col("s1")).alias("after"))
+    return keyed.join(near, ["host", "content", "salt"]).select("uid", "before", "after")
+
+
+#: A nearest neighbour that shares more than this part of a page's lines may be a near copy: a line goes only if the neighbour on the other side has it too.
+COPY = 0.8
+
+
+def _common(a: str, b: str | None) -> int:
+    """Length of the common beginning of two paths; -1 without a second one."""
+    if b is None:
+        return -1
+    n = min(len(a), len(b))
+    return next((k for k in range(n) if a[k] != b[k]), n)
+
+
+def template(own: list[int], path: str, before: tuple[str, list[int]] | None, after: tuple[str, list[int]] | None) -> list[bool]:
+    """Which lines of a page are its site's template.
+
+    Those on a longest common subsequence with the neighbour whose path has the
+    longer common beginning (the one before, if both have). Where that neighbour
+    shares more than ``COPY`` of the page, it may be a near copy; then only lines
+    that the other neighbour shares too are template, or none without one.
+    """
+    sides = [x for x in (before, after) if x is not None]
+    sides.sort(key=lambda x: -_common(path, x[0]))
+    if not sides or not own:
+        return [False] * len(own)
+    gone = shared_lines(own, sides[0][1])
+    if sum(gone) > COPY * len(own):
+        other = shared_lines(own, sides[1][1]) if len(sides) > 1 else [False] * len(own)
+        gone = [x and y for x, y in zip(gone, other)]
+    return gone
 
 
-#: A neighbour that shares at least this part of a page's open lines is a copy of it, not a template.
-COPY = 0.9
+def chosen(kinds: list[int], gone: list[bool]) -> list[bool]:
+    """Which lines stay: differencing decides, structure has the veto."""
+    marked = MAIN in kinds
+    return [k == MAIN or k == OPEN and not g and not marked for k, g in zip(kinds, gone)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars.
+    """One row per row of ``pages``: page_id, url, text, n_chars, n_lines, n_shared.
 
-    Blocks are joined in page order by one newline. Null or empty html gives an
-    empty text; pages without a URL, or alone on their host, are judged by
-    structure alone; a neighbour that is a copy deletes nothing; repeated rows
-    are extracted each; other columns are ignored.
+    Lines that stay are joined in page order by one newline; ``n_lines`` counts
+    all lines and ``n_shared`` those that differencing deleted. Null or empty
+    html gives an empty text; pages without a URL, or alone on their host, are
+    judged by structure alone; repeated rows are extracted each; other columns,
+    whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [blocks(t.as_py()) for t in b.column(3)]
             marked = [any(k == MAIN for k, _ in f) for f in found]
-            text = ["\n".join(t for k, t in f if k == MAIN) if m else None for f, m in zip(found, marked)]
-            lines = [None if m else [t for _, t in f] for f, m in zip(found, marked)]
-            hashes = [None if m or not f else [_line(t) for _, t in f] for f, m in zip(found, marked)]
+            kinds = [bytes(k for k, _ in f) for f in found]
+            # a line that structure drops whatever the neighbours say needs no text
+            lines = [[t for k, t in f if k == (MAIN if m else OPEN)] for f, m in zip(found, marked)]
+            hashes = [[_line(t) for _, t in f] for f in found]
+            content = [xxhash.xxh64_intdigest(np.array(h, np.int64).tobytes()) - (1 << 63) for h in hashes]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], ["uid", "page_id", "url", "text", "lines", "hashes"]
-            )
+                [*b.columns[:3], pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(content, pa.int64())],
+                ["uid", "page_id", "url", "lines", "kinds", "hashes", "content"],
+            )
 
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
-    parsed = written(rows.mapInArrow(run, f"uid long, page_id {kind}, url string, text string, lines array<string>, hashes array<long>"), "page-blocks")
-    done = parsed.filter("lines is null").select("page_id", "url", "text")
-    undecided = parsed.filter("lines is not null")
+    parsed = written(rows.mapInArrow(run, f"uid long, page_id {kind}, url string, lines array<string>, kinds binary, hashes array<long>, content long"), "page-lines")
 
     host = F.lower(F.regexp_extract("url", _HOST, 1))
     path = F.regexp_replace(F.regexp_replace("url", _HOST, ""), "[?#].*$", "")
-    open_pages = undecided.filter("hashes is not null").select("uid", "hashes", host.alias("host"), path.alias("path"))
-    pairs = _neighbours(open_pages.filter("host != ''"))
-    other = open_pages.select(F.col("uid").alias("near"), F.col("hashes").alias("other"))
-    compared = undecided.join(pairs, "uid", "left").join(other, "near", "left")
+    placed = parsed.select("uid", "content", host.alias("host"), path.alias("path")).filter("host != ''")
+    sides = parsed.select(F.col("uid").alias("near"), F.struct(path.alias("path"), "hashes").alias("side"))
+    compared = parsed.withColumn("path", path).join(_neighbours(placed, sides), "uid", "left")
 
     def drop_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for lines, own, near in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                gone = shared_lines(own, near) if own and near else [False] * len(lines)
-                if sum(gone) >= COPY * len(lines):
-                    gone = [False] * len(lines)
-                out.append("\n".join(t for t, g in zip(lines, gone) if not g))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-    rest = compared.select("page_id", "url", "lines", "hashes", "other").mapInArrow(drop_shared, f"page_id {kind}, url string, text string")
-    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+            text, n, shared = [], [], []
+            for lines, kinds, own, where, *near in zip(*(c.to_pylist() for c in b.columns[2:])):
+                gone = template(own, where or "", *[x and (x["path"], x["hashes"]) for x in near])
+                wanted = MAIN if MAIN in kinds else OPEN
+                stay = chosen(list(kinds), gone)
+                kept = iter(lines)
+                text.append("\n".join([t for t, s in [(next(kept), s) for k, s in zip(kinds, stay) if k == wanted] if s]))
+                n.append(len(kinds))
+                shared.append(sum(g and not s for g, s in zip(gone, stay)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(shared, pa.int64())], ["page_id", "url", "text", "n_lines", "n_shared"])
+
+    out = compared.select("page_id", "url", "lines", "kinds", "hashes", "path", "before", "after").mapInArrow(drop_shared, f"page_id {kind}, url string, text string, n_lines long, n_shared long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
