@@ -74,11 +74,38 @@ def test_index_persists(spark, tmp_path):
     second = exact_dedup.exact_groups(frame(spark, [(9, "a"), (10, "c"), (11, "c")]), index=again)
     assert {(r.doc_id, r.keep_id, r.kept) for r in second.collect()} == {(9, 2, False), (10, 11, False), (11, 11, True)}
     assert again.table().count() == 3
+    third = exact_dedup.exact_groups(frame(spark, [(1, "a"), (20, "d")]), index=again)
+    text = third._jdf.queryExecution().executedPlan().toString()
+    assert again.name in text and "SortMergeJoin" in text  # what stays is read from the index
+    assert {(r.doc_id, r.keep_id, r.kept) for r in third.collect()} == {(1, 2, False), (20, 20, True)}
+    assert again.table().count() == 4
+    gone = exact_dedup.drop_copies(frame(spark, [(1, "a"), (30, "e"), (31, "e"), (30, "e")]), index=again)
+    assert [r.doc_id for r in gone.collect()] == [31]
     plan = again.unseen(exact_dedup.digests(frame(spark, [(1, "a")])))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     again.close()
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_meet_the_index(spark, monkeypatch, batches):
+    """Later batches find texts of earlier ones in the index; the result is that of one batch."""
+    seen, append = [], exact_dedup.DigestIndex.append
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", lambda self, batch: (append(self, batch), seen.append(self.table().count()))[0])
+    rows = [(i, f"t{i % 7}") for i in range(60)] + [(None, "t1"), (None, "null only")]
+    got = exact_dedup.exact_groups(frame(spark, rows), batches=batches).collect()
+    assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in got) == exact_brute(rows)
+    assert sum(r.kept for r in got) == 8
+    assert len(seen) == batches and seen[-1] == 8 and (batches == 1 or seen[0] >= 7)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b", "x", "y", "z", 1), (2, "a b", "p", "q", "r", 2), (3, "c", "s", "t", "u", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _digest string, _key string, _twin int").withColumns({"c0": F.lit("c0"), "c1": F.lit("c1"), "_salt": F.lit(4)})
+    for out, stays in ((exact_dedup.drop_copies(docs), {2, 3}), (simhash.drop_near_copies(docs), {1, 3})):
+        assert out.columns == docs.columns
+        assert {r for r in out.collect()} == {r for r in docs.collect() if r.doc_id in stays}
+
+
 def fp_brute(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words, now = [], ""
