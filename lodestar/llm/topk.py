@@ -1,14 +1,20 @@
 """Exact top-k inner-product search by the three-phase uniform threshold.
 
-A score is the sum of ``m`` partial scores over segments of the components. In
-phase one every task lists its best partial scores a query and segment; the
-listed vectors' whole scores give a lower bound ``t`` of the query's k-th best.
-A vector that scores ``t`` or more has a segment with at least ``t / m``, so
-phase two broadcasts that cutoff and takes every entry above it; phase three
-completes the scores of those entries and keeps what reaches ``t``.
-
-Queries are taken in groups of at most ``GROUP``, so what is broadcast has a
-bound; candidates are read in packed blocks, so a task holds one block.
+A vector's components are cut in two segments; a score is the sum of its two
+partial scores, and each segment is a list of partial scores to be searched.
+
+1. Every task takes the best ``k`` partial scores of the first segment for each
+   query and completes those few. The ``k``-th best whole score over all tasks,
+   ``t``, is one that the answer reaches.
+2. ``t`` goes to all tasks. A vector that scores ``t`` has a segment of at least
+   ``t / 2``, so each segment gives the entries from that cutoff on. Segments
+   whose norms can't reach it are skipped without a product.
+3. Only those entries get their other partial score, which makes them exact, and
+   what reaches ``t`` is ranked.
+
+Vectors lie in shards and queries in groups, both of bounded size. Each pair of
+shard and group is a task of its own, so one job a phase does all queries, and
+products are taken tile by tile.
 """
 
 from __future__ import annotations
@@ -23,8 +29,10 @@ from pyspark.sql import Window as W
 
 from lodestar.runtime import dropped, written
 
-#: Queries of a group, vectors of a block, segments of a vector.
-GROUP, BLOCK, SEGMENTS = 4096, 4096, 2
+#: Vectors of a shard and queries of a group, on average and of up to 64 components (longer ones: fewer), and most of either in a tile of products.
+SHARD, GROUP, TILE = 65_536, 16_384, 1024
+#: Vectors that make a shard of their own worth while.
+LEAST = 1024
 #: Products of components up to this sum are exact in doubles.
 _EXACT = float(1 << 53)
 
@@ -36,123 +44,188 @@ def quantized(vector: str = "embedding", scale: float = 256.0):
     return F.when(F.col(vector).isNotNull() & ~bad, v)
 
 
-def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows of (uid, vec_id, v) as blocks (uids, ids, width, data); shorter vectors are filled with zeros."""
+_BLOCK = "part int, n int, width int, uids binary, ids binary, cuts binary, data binary"
+
+
+def packed(rows: DataFrame, block: int = TILE) -> DataFrame:
+    """Rows of (part, uid, vec_id, cut, v), those of a part side by side, as blocks of one part; shorter vectors are filled with zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, block):
-                part = b.slice(at, block)
-                vectors = part.column(2).to_pylist()
+            parts = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), b.num_rows]
+            for at, end in ((x, min(x + block, e)) for s, e in zip(edges, edges[1:]) for x in range(s, e, block)):
+                part = b.slice(at, end - at)
+                vectors = part.column(4).to_pylist()
                 wide = max(map(len, vectors))
                 data = np.zeros((len(vectors), wide))
                 for k, v in enumerate(vectors):
                     data[k, : len(v)] = v
-                pack = [part.column(c).to_numpy(zero_copy_only=False).astype("<i8").tobytes() for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*[pa.array([p], pa.binary()) for p in pack], pa.array([wide], pa.int32()), pa.array([data.astype("<f8").tobytes()], pa.binary())], ["uids", "ids", "width", "data"])
-
-    return rows.select("uid", "vec_id", "v").mapInArrow(run, "uids binary, ids binary, width int, data binary")
-
-
-def _matrix(block: dict, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(block["data"], "<f8").reshape(-1, block["width"])
-    if data.shape[1] < wide:
-        data = np.pad(data, ((0, 0), (0, wide - data.shape[1])))
-    return np.frombuffer(block["uids"], "<i8"), np.frombuffer(block["ids"], "<i8"), data
-
-
-def _partials(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Partial scores of each segment, queries by candidates."""
-    wide = max(q.shape[1], c.shape[1])
-    q, c = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (q, c))
-    if q.size and c.size and np.abs(q).max() * np.abs(c).max() * max(1, wide) >= _EXACT:
-        q, c = q.astype(np.int64), c.astype(np.int64)
-    cuts = [wide * s // SEGMENTS for s in range(SEGMENTS + 1)]
-    return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:])]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    for b in batches:
-        for row in b.to_pylist():
-            yield row
-
-
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", group: int = GROUP, block: int = BLOCK, scale: float = 256.0) -> DataFrame:
+                small = _whole(data) if np.abs(data).max(initial=0) < 32768 else None  # as two bytes a component where they fit
+                blob = [part.column(c).to_numpy(zero_copy_only=False).astype(t).tobytes() for c, t in ((1, "<i8"), (2, "<i8"), (3, "<f8"))]
+                blob.append(small if small is not None else data.astype("<f8").tobytes())
+                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in (int(parts[at]), len(vectors), wide)], *[pa.array([x], pa.binary()) for x in blob]], ["part", "n", "width", "uids", "ids", "cuts", "data"])
+
+    return rows.select("part", "uid", "vec_id", "cut", "v").mapInArrow(run, _BLOCK)
+
+
+def _whole(data: np.ndarray) -> bytes | None:
+    small = data.astype("<i2")
+    return small.tobytes() if (small == data).all() else None
+
+
+class _Block:
+    """A block's ids, cutoffs, vectors and the norms of their segments."""
+
+    def __init__(self, row: dict):
+        n, wide = row["n"], row["width"]
+        self.uids, self.ids, self.cuts = np.frombuffer(row["uids"], "<i8"), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["cuts"], "<f8")
+        kind = "<i2" if len(row["data"]) == 2 * n * wide else "<f8"
+        self.v = np.frombuffer(row["data"], kind).reshape(n, wide).astype(np.float64)
+
+    def widened(self, wide: int) -> np.ndarray:
+        return np.pad(self.v, ((0, 0), (0, wide - self.v.shape[1])))
+
+
+def _blocks(table: pa.Table) -> list[_Block]:
+    return [_Block(r) for r in table.to_pylist()]
+
+
+def _tiles(left: pa.Table, right: pa.Table):
+    """(queries' block, vectors' block, segments of both) for each pair of tiles of a shard and a group."""
+    queries, vectors = _blocks(right), _blocks(left)
+    for q in queries:
+        for c in vectors:
+            wide = max(q.v.shape[1], c.v.shape[1])
+            x, y = q.widened(wide), c.widened(wide)
+            if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * max(1, wide) >= _EXACT:
+                x, y = x.astype(np.int64), y.astype(np.int64)
+            half = (wide + 1) // 2
+            yield q, c, (x[:, :half], x[:, half:]), (y[:, :half], y[:, half:])
+
+
+def _pairwise(x: np.ndarray, y: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Products of row ``at[k]`` of ``x`` and row ``of[k]`` of ``y``, a bounded number at a time."""
+    step = 1 << 16
+    parts = [np.einsum("ij,ij->i", x[at[s : s + step]], y[of[s : s + step]]) for s in range(0, len(at), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, x.dtype)
+
+
+def listed(k: int):
+    """Phase one: for each query of a group, whole scores of the ``k`` vectors of a shard that lead the first segment's list."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for q, c, x, y in _tiles(left, right):
+            p = x[0] @ y[0].T
+            p = np.where(q.uids[:, None] == c.uids[None, :], -np.inf, p)
+            take = np.argpartition(-p, k - 1, axis=1)[:, :k] if k < p.shape[1] else np.broadcast_to(np.arange(p.shape[1]), p.shape)
+            lead = np.take_along_axis(p, take, 1)
+            at, of = np.repeat(np.arange(len(q.uids)), take.shape[1]), take.ravel()
+            whole = np.where(lead.ravel() == -np.inf, -np.inf, lead.ravel() + _pairwise(x[1], y[1], at, of)).reshape(lead.shape)
+            if x[0].dtype == np.int64:
+                whole -= np.abs(np.where(whole == -np.inf, 0, whole)) * 1e-15  # a double may have rounded it up
+            if id(q) in best:
+                lead, whole = np.concatenate([best[id(q)][1], lead], 1), np.concatenate([best[id(q)][2], whole], 1)
+                top = np.argsort(-lead, axis=1)[:, :k]
+                lead, whole = np.take_along_axis(lead, top, 1), np.take_along_axis(whole, top, 1)
+            best[id(q)] = (q.uids, lead, whole)
+        uids = [np.repeat(u, w.shape[1]) for u, _, w in best.values()]
+        score = [w.ravel() for _, _, w in best.values()]
+        uids, score = (np.concatenate(z) if z else np.zeros(0) for z in (uids, score))
+        real = score > -np.inf
+        return pa.table({"q": pa.array(uids[real], pa.int64()), "score": pa.array(score[real], pa.float64())})
+
+    return run
+
+
+def entries(q: _Block, c: _Block, x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases two and three on one tile: (query, vector, whole score) of what reaches the queries' cutoffs."""
+    low, found = q.cuts / 2, []
+    for s in (0, 1):
+        reach = np.sqrt((x[s].astype(np.float64) ** 2).sum(1)) * np.sqrt((y[s].astype(np.float64) ** 2).sum(1)).max(initial=0)
+        live = np.flatnonzero(reach * (1 + 1e-9) + 1e-6 >= low)  # no product of the others can reach the cutoff
+        if len(live):
+            p = x[s][live] @ y[s].T
+            at, of = np.nonzero(p >= low[live][:, None])
+            found.append(np.stack([live[at], of]))
+    at, of = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+    other = q.uids[at] != c.uids[of]
+    at, of = at[other], of[other]
+    score = _pairwise(x[0], y[0], at, of) + _pairwise(x[1], y[1], at, of)
+    good = score >= q.cuts[at]
+    return at[good], of[good], score[good]
+
+
+def resolved(k: int):
+    """Phases two and three for a shard and a group; of a query's entries the ``k`` best are enough."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
+        held = 0
+
+        def cut() -> None:
+            uid, qid, vec, score = map(np.concatenate, out)
+            order = np.lexsort((vec, -score, uid))
+            rank = np.arange(len(order)) - np.searchsorted(uid[order], uid[order])
+            stay = order[rank < k]
+            out[:] = [[z[stay]] for z in (uid, qid, vec, score)]
+
+        for q, c, x, y in _tiles(left, right):
+            at, of, score = entries(q, c, x, y)
+            for z, new in zip(out, (q.uids[at], q.ids[at], c.ids[of], score.astype(np.int64))):
+                z.append(new)
+            held += len(at)
+            if held > 1 << 20:
+                cut()
+                held = 0
+        cut()
+        return pa.table({n: pa.array(z[0], pa.int64()) for n, z in zip(("q", "query_id", "vec_id", "score"), out)})
+
+    return run
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", group: int = GROUP, shard: int = SHARD, scale: float = 256.0) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` highest scores, ties to the smaller vec_id.
 
     ``is_query`` is a condition on ``vectors``; every row but the query's own is
     a candidate. Vectors that are null or hold null or non-finite components and
     rows without an id take no part; with fewer candidates all are returned; a
-    vector that is shorter than another counts as filled with zeros; rows that
-    repeat an id are rows of their own.
+    vector that is shorter than another counts as filled with zeros, an empty
+    one as zeros only; rows that repeat an id are rows of their own; no queries
+    or no rows give no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantized(vector_col, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).filter("vec_id is not null and v is not null")
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    store = written(packed(rows, block), "vector-blocks")
-    chosen = packed(rows.filter("query").repartition(max(1, -(-rows.filter("query").count() // group)), F.col("uid")), group)
-    parts = None
-    for q in written(chosen, "query-blocks").toLocalIterator():
-        part = written(_group(spark, store, q.asDict(), k), "top-k")
-        parts = part if parts is None else parts.unionByName(part)
-    dropped(rows)
-    if parts is None:
+    n, asked, longest = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("query").cast("long")), F.lit(0)), F.max(F.size("v"))).first()
+    if not asked:
+        dropped(rows)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return parts
-
-
-def _group(spark: SparkSession, store: DataFrame, block: dict, k: int) -> DataFrame:
-    """Results of one group of queries."""
-    uids, ids, q = _matrix(block, block["width"])
-    shared = spark.sparkContext.broadcast((uids, q))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q = shared.value
-        kept: np.ndarray | None = None  # best whole scores so far, k a query
-        for row in _blocks(batches):
-            cand, _, c = _matrix(row, q.shape[1])
-            parts = _partials(q, c)
-            whole = sum(parts).astype(np.float64)
-            whole[own[:, None] == cand[None, :]] = -np.inf
-            seen = np.concatenate([_best(np.where(whole == -np.inf, -np.inf, p), k) for p in parts], 1)
-            seen.sort(1)
-            score = np.take_along_axis(whole, seen, 1)
-            score[:, 1:][seen[:, 1:] == seen[:, :-1]] = -np.inf  # listed in both segments: once
-            kept = score if kept is None else np.concatenate([kept, score], 1)
-            kept = -np.sort(-kept, 1)[:, :k]
-        if kept is not None:
-            n = kept.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), n)), pa.array(kept.ravel())], ["q", "score"])
-
-    lists = store.mapInArrow(listed, "q long, score double").filter(F.col("score") > float("-inf"))
-    kth = lists.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") == k).select("q", "score")
-    cut = np.full(len(ids), -np.inf)  # a query with fewer candidates than k takes them all
-    for r in kth.toLocalIterator():
-        cut[r["q"]] = r["score"]
-    cutoff = spark.sparkContext.broadcast(cut)
-
-    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, q), low = shared.value, cutoff.value
-        for row in _blocks(batches):
-            cand, names, c = _matrix(row, q.shape[1])
-            parts = _partials(q, c)
-            enough = np.zeros(parts[0].shape, bool)
-            for p in parts:
-                enough |= p >= (low / len(parts))[:, None]
-            at, of = np.nonzero(enough & (own[:, None] != cand[None, :]))
-            score = sum(p[at, of] for p in parts)
-            good = score >= low[at]
-            yield pa.RecordBatch.from_arrays([pa.array(at[good]), pa.array(names[of[good]]), pa.array(score[good].astype(np.int64))], ["q", "vec_id", "score"])
-
-    entries = store.mapInArrow(resolved, "q long, vec_id long, score long")
-    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    ranked = entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    names = spark.createDataFrame(list(enumerate(ids.tolist())), "q long, query_id long")
-    return ranked.join(F.broadcast(names), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")  # at most GROUP rows
+    shard, group = (max(1, min(most, 64 * most // max(1, longest))) for most in (shard, group))  # so that longer vectors take no more memory
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, groups = max(-(-n // shard), min(wide, -(-n // LEAST))), -(-asked // group)
+    part = lambda of, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(of)).cast("int").alias("part")
+    placed = lambda df: df.repartition(min(wide, max(shards, groups)), "part").sortWithinPartitions("part", "uid")
+    store = written(packed(placed(rows.select(part(shards, 1), "uid", "vec_id", F.lit(0.0).alias("cut"), "v"))).withColumnRenamed("part", "s"), "vector-shards")
+    queries = rows.filter("query").select(part(groups, 2), "uid", "vec_id", "v")
+
+    def paired(asking: DataFrame):
+        """Each shard with each group: the queries, of bounded size a group, go to every shard once, and so the reverse."""
+        left = store.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        right = packed(placed(asking)).withColumnRenamed("part", "g").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        return left.groupBy("s", "g").cogroup(right.groupBy("s", "g"))
+
+    lists = paired(queries.withColumn("cut", F.lit(0.0))).applyInArrow(listed(k), "q long, score double")
+    kth = lists.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") == k).select(F.col("q").alias("uid"), F.col("score").alias("cut"))
+    asking = queries.join(kth, "uid", "left").withColumn("cut", F.coalesce("cut", F.lit(float("-inf"))))  # with fewer candidates than k all are taken
+    asking = written(asking, "top-k-cutoffs")
+    found = paired(asking).applyInArrow(resolved(k), "q long, query_id long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    out = written(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top-k")
+    for done in (rows, store, asking):
+        dropped(done)
+    return out
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

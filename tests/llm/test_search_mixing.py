@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,13 +35,14 @@ def search_brute(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group, block, k", [(3, 4, 5), (4096, 4096, 5), (2, 7, 1), (5, 5, 200)])
-def test_top_k_brute_force(spark, group, block, k):
+@pytest.mark.parametrize("group, shard, k", [(3, 4, 5), (4096, 4096, 5), (2, 7, 1), (5, 5, 200)])
+def test_top_k_brute_force(spark, monkeypatch, group, shard, k):
+    monkeypatch.setattr(topk, "LEAST", 10)
     rng = random.Random(k)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(0, 400, 5)]
     rows += [(i + 1, rows[3][1]) for i in range(9)] + [(7, None), (50, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (150, [float("nan")] * 6), (200, [float("inf")] * 6), (None, [1.0] * 6), (100, [0.5] * 6), (350, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "uid": F.lit("u"), "query": F.lit("q")})
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, k, group=group, block=block)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, k, group=group, shard=shard)
     assert sorted(tuple(r) for r in got.collect()) == search_brute(rows, k)
 
 
@@ -51,6 +53,32 @@ def test_top_k_empty(spark):
     assert topk.top_k(one, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_empty_vectors(spark):
+    df = spark.createDataFrame([(50, []), (51, []), (100, [])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == [(50, 1, 51, 0), (50, 2, 100, 0), (100, 1, 50, 0), (100, 2, 51, 0)]
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(i, [float((i * 37) % 11 - 5) * 1e6, float((i * 13) % 7 - 3) * 1e6, 1e6]) for i in range(0, 120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == search_brute(rows, 5)
+
+
+def test_cutoff_leaves_few_entries():
+    """Of random vectors a small part passes the uniform cutoff, and none that reaches it is lost."""
+    rng = np.random.default_rng(2)
+    v = np.floor(rng.normal(0, 32, (3000, 64)))
+    block = lambda w, at, cut: topk._Block({"n": len(w), "width": 64, "uids": np.arange(at, at + len(w)).astype("<i8").tobytes(), "ids": np.arange(at, at + len(w)).astype("<i8").tobytes(), "cuts": cut.astype("<f8").tobytes(), "data": w.astype("<f8").tobytes()})
+    q, whole = v[:50], v[:50] @ v.T
+    whole[np.arange(50), np.arange(50)] = -np.inf
+    cut = np.sort(whole, 1)[:, -20]
+    a, b = block(q, 0, cut), block(v, 0, np.zeros(3000))
+    at, of, score = topk.entries(a, b, (q[:, :32], q[:, 32:]), (v[:, :32], v[:, 32:]))
+    assert {(i, j): s for i, j, s in zip(at.tolist(), of.tolist(), score.tolist())} == {(i, j): whole[i, j] for i, j in zip(*np.nonzero(whole >= cut[:, None]))}
+    passed = sum((q[:, s] @ v[:, s].T >= cut[:, None] / 2).sum() for s in (slice(0, 32), slice(32, 64)))
+    assert passed < 0.15 * whole.size
+
+
 def test_raking_meets_targets(spark):
     rng = random.Random(3)
     rows = [(f"s{a}", f"l{b}", f"t{c}", rng.randrange(1, 5000)) for a in range(8) for b in range(3) for c in range(3)]
