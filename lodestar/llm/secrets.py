@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,29 +31,31 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched from its start, so this keeps the runs of 24 and more
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile("[0-9]")
-#: Most labelled credentials of each kind, and most ordinary runs, that inference reads (the documented bound).
-PER_KIND, ORDINARY = 600, 2000
+#: Most labelled credentials of each kind, and most ordinary runs, that inference reads, and the longest of either (the documented bounds of the sample; scores have none).
+PER_KIND, ORDINARY, LONGEST = 600, 2000, 256
 #: Least mean log-likelihood ratio a character, in bits, of a span of kind ``like``.
 LEAST_BITS = 0.7
-_SIZE = 16  # symbols that smoothing shares among: six sets, separators, a few literals and the end
-_SETS = [(re.compile(p), k) for p, k in (("[0-9]*", "n"), ("[0-9a-f]*", "x"), ("[0-9a-z]*", "y"), ("[0-9A-F]*", "H"), ("[0-9A-Z]*", "U"), (".*", "m"))]
-_SEPARATOR = re.compile("[+/_.=-]")
-_HEAD = re.compile("[A-Z]{2,4}")
+_SIZE = 16  # symbols that smoothing shares among: five sets, six separators, a few literals and the end
+#: Characters of a beginning that is a format's own, the least part of a kind's credentials that have it, and their least number.
+HEAD, HEAD_SHARE, HEAD_COUNT = 4, 0.05, 5
+_CLASSES = str.maketrans("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 10 + "1" * 6 + "2" * 20 + "3" * 6 + "4" * 20)
 
 
-def symbols(run: str) -> str:
-    """A run as format symbols: separators and two to four leading capitals as they are, the rest as its narrowest character set.
+def symbols(run: str, heads: frozenset[str] = frozenset()) -> str:
+    """A run as format symbols, one a character.
 
-    The sets: digits ``n``, lower hexadecimal ``x``, lower alphanumeric ``y``,
-    upper hexadecimal ``H``, upper alphanumeric ``U``, mixed ``m``.
+    Digits, ``a-f``, ``g-z``, ``A-F`` and ``G-Z`` are 0 to 4, separators stay as they are;
+    a beginning among ``heads`` is spelled in symbols of its own.
     """
-    head = _HEAD.match(run)
-    lead = head.group() if head else ""
-    rest = run[len(lead) :]
-    bare = _SEPARATOR.sub("", rest)
-    kind = next(k for p, k in _SETS if p.fullmatch(bare))
-    return lead + "".join([c if c in "+/_.=-" else kind for c in rest])
+    if run[:HEAD] in heads:
+        return "".join([chr(0xE000 + ord(c)) for c in run[:HEAD]]) + run[HEAD:].translate(_CLASSES)
+    return run.translate(_CLASSES)
+
+
+def frequent_heads(runs: list[str]) -> frozenset[str]:
+    """Beginnings that many of a kind's credentials share, such as a key's issuer mark."""
+    seen = Counter(r[:HEAD] for r in runs)
+    return frozenset(h for h, n in seen.items() if n >= max(HEAD_COUNT, HEAD_SHARE * len(runs)))
 
 
 class Automaton:
@@ -131,17 +135,25 @@ class Automaton:
                 reds = set(red)
                 blue = [(r, d) for r in red for d in sorted(self.next[r]) if self.next[r][d] not in reds]
 
+    def compiled(self) -> Automaton:
+        """With tables of log2-probabilities, smoothed by a little of the uniform."""
+        self.arcs, self.stop = [], []
+        for q in range(len(self.next)):
+            n = self.total(q)
+            self.arcs.append({c: (math.log2(0.98 * self.seen[q].get(c, 0) / n + 0.02 / _SIZE), to) for c, to in self.next[q].items()} if n else {})
+            self.stop.append(math.log2((0.98 * self.ends[q] / n if n else 0) + 0.02 / _SIZE))
+        return self
+
     def bits(self, s: str) -> float:
-        """Log2-likelihood of a string of symbols, smoothed by a little of the uniform."""
-        at, out = 0, 0.0
+        """Log2-likelihood of a string of symbols; a string that leaves the automaton pays for all of its symbols."""
+        at, out, arcs = 0, 0.0, self.arcs
         for c in s:
-            n = self.total(at) if at is not None else 0
-            out += math.log2(0.98 * (self.seen[at].get(c, 0) / n if n else 0) + 0.02 / _SIZE)
-            at = self.next[at].get(c) if at is not None else None
-            if at is None:
-                return out + (len(s)) * math.log2(0.02 / _SIZE)
-        n = self.total(at)
-        return out + math.log2(0.98 * (self.ends[at] / n if n else 0) + 0.02 / _SIZE)
+            step = arcs[at].get(c)
+            if step is None:
+                return out + (len(s) + 1) * math.log2(0.02 / _SIZE)
+            out += step[0]
+            at = step[1]
+        return out + self.stop[at]
 
 
 class Ordinary:
@@ -164,14 +176,17 @@ class Model:
     """Automata by kind and the model of ordinary runs."""
 
     def __init__(self, credentials: dict[str, list[str]], ordinary: list[str], least_bits: float = LEAST_BITS):
-        self.automata = {k: Automaton.inferred([symbols(s) for s in v]) for k, v in sorted(credentials.items()) if v}
-        self.ordinary, self.least = Ordinary([symbols(s) for s in ordinary]), least_bits
+        credentials = {k: v for k, v in sorted(credentials.items()) if v}
+        self.heads = frozenset().union(*map(frequent_heads, credentials.values()))
+        formats = {k: [symbols(s, self.heads) for s in v] for k, v in credentials.items()}
+        self.automata = {k: Automaton.inferred(v).compiled() for k, v in formats.items()}
+        self.ordinary, self.least = Ordinary([symbols(s, self.heads) for s in ordinary]), least_bits
         # a format's own credentials set how likely a member of it has to be
-        self.floor = {k: float(np.quantile([self.automata[k].bits(symbols(s)) / (len(s) + 1) for s in credentials[k]], 0.02)) for k in self.automata}
+        self.floor = {k: float(np.quantile([self.automata[k].bits(s) / (len(s) + 1) for s in v], 0.02)) for k, v in formats.items()}
 
     def score(self, run: str) -> float:
         """Bits a character by which the best format beats ordinary text; -inf if no format would write the run."""
-        s, best = symbols(run), -math.inf
+        s, best = symbols(run, self.heads), -math.inf
         base = None
         for k, a in self.automata.items():
             own = a.bits(s)
@@ -191,11 +206,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
-    """Runs of 16 and more credential characters with a digit that touch no base span."""
+    """Runs of 16 and more credential characters that touch no base span."""
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in _CANDIDATE.finditer(text):
-        run = m.group()
-        if _DIGIT.search(run) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            yield m.start(), m.end(), run
+        before = bisect_left(starts, m.end())  # the spans that begin before the run's end
+        if not before or reach[before - 1] <= m.start():
+            yield m.start(), m.end(), m.group()
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -206,7 +222,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_k
     """Automata inferred from at most ``per_kind`` different credentials of each kind.
 
     Base scans label the credentials: the value of an assignment, an access key,
-    a hexadecimal run. The sample takes the smallest hashes of the whole corpus.
+    a hexadecimal run. The sample takes the smallest hashes of the whole corpus;
+    what is longer than ``LONGEST`` teaches no format.
     """
 
     def harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +236,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_k
                     found = text[s:e]
                     if k == 0:
                         found = _ASSIGN.match(found).group(2)
-                    rows.append((KINDS[k], found[:4096]))
-                rows += [("", run[:4096]) for _, _, run in candidates(text, base)]
+                    rows.append((KINDS[k], found))
+                rows += [("", run) for _, _, run in candidates(text, base)]
+            rows = [r for r in rows if len(r[1]) <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([r for _, r in rows], pa.string())], ["kind", "run"])
 
     runs = written(docs.select(F.col(text_col).alias("text")).mapInArrow(harvest, "kind string, run string").distinct(), "secret-runs")
