@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and joins on narrow edge rows, written to the
-shared folder. Rounds grow with the logarithm of the longest path, and no
-component is ever gathered in one task or on the driver.
+shared folder. Rounds grow with the logarithm of the longest path. A hub, which
+in the end has its whole component around it, is reduced and looked up in salted
+cells, so no component is gathered in one task or on the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.runtime import dropped, written
+from lodestar.runtime import dropped, salted_lookup, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -18,16 +19,14 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    near = salted_lookup(_both(edges), "u", "v", {"m": (F.min("v"), F.min)})
+    return near.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    near = salted_lookup(down, "u", "v", {"m": (F.min("v"), F.min)})
+    return near.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -84,17 +84,20 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def salted_lookup(rows: DataFrame, key: str, salt_from: str, aggs: dict, salts: int = 32) -> DataFrame:
+def salted_lookup(rows: DataFrame, key: str, salt_from: str, aggs: dict, salts: int = 32, keep: str | None = None) -> DataFrame:
     """Add to each row the aggregates of its ``key`` group, with no task holding a hot group.
 
-    ``aggs`` maps a new column to ``(partial, final)``: functions from a column
-    expression to an aggregate; ``partial`` is applied to rows of one
-    ``(key, salt)`` cell, ``final`` to the cells of a key. The salt is a hash of
-    ``salt_from``, so a group of any size spreads over ``salts`` tasks, and the
-    group's result is sent only to the cells that exist.
+    ``aggs`` maps a new column to ``(partial, final)``: ``partial``, an aggregate,
+    is taken over the rows of one ``(key, salt)`` cell, and ``final``, a function
+    from a column to an aggregate, over the cells of a key. The salt is a hash of
+    ``salt_from``, so a group of any size spreads over ``salts`` tasks; rows are
+    shuffled once, by cell, and a group's result is sent only to the cells that
+    exist. With ``keep``, a condition on the aggregates, the rows of other groups go.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    cells = salted.groupBy(key, "_salt").agg(*[p(None).alias(c) for c, (p, _) in aggs.items()])
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")).repartition(key, "_salt")
+    cells = salted.groupBy(key, "_salt").agg(*[p.alias(c) for c, (p, _) in aggs.items()])
     totals = cells.groupBy(key).agg(*[f(F.col(c)).alias(c) for c, (_, f) in aggs.items()], F.collect_list("_salt").alias("_salts"))
+    if keep:
+        totals = totals.filter(keep)
     table = totals.select(key, *aggs, F.explode("_salts").alias("_salt"))
     return salted.join(table, [key, "_salt"]).drop("_salt")
