@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, exact_dedup, langid, mixing, shingles, simhash
+from lodestar.llm import bpe, exact_dedup, langid, mixing, simhash
 from lodestar.runtime import dropped, written
 
 
@@ -26,7 +26,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the smallest doc_id stays; links are op2's and those of five-word shingles with a Jaccard similarity of 0.8."""
-    return simhash.drop_near_copies(docs, more=shingles.similar(docs))
+    return simhash.drop_near_copies(docs, jaccard=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,15 @@ Shingles are taken as their 64-bit hashes. Two sets of ``n`` and ``m`` shingles
 reach 0.8 if they share at least ``4 (n + m) / 9``; so in any order that holds
 for all texts, the first shingle they share leaves that many less one behind it
 in both. Only a fifth of a text's shingles can be such a first one. The order is
-by frequency in a sample of texts, then by hash: it decides how many candidates
-there are and never which pairs are found. Candidates are verified on the whole
-sets. A family of k near copies has k * k / 2 pairs.
+by how crowded a shingle's hash cell is over all texts, then by hash: it decides
+how many candidates there are and never which links are found.
+
+A family of near copies isn't paired with itself. First each text is compared
+with the leader of each of its shingles' buckets, which is linear, and components
+are taken over the pairs that reach 0.8. Then the buckets that hold more than one
+component are opened, and there the texts outside the largest component are
+compared with all of other components. A pair that reaches 0.8 is thus linked or
+was in one component before.
 """
 
 from __future__ import annotations
@@ -17,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.simhash import fingerprint
-from lodestar.runtime import dropped, written
+from lodestar.operators.components import connected_components
+from lodestar.runtime import dropped, salted_lookup, small_or_shuffled, written
 
 WORDS = 5
-#: Texts that the frequencies are taken from, and the frequent shingles kept, at most (about).
-SAMPLE, FREQUENT = 20_000, 200_000
+#: Hash cells that texts are counted in, a power of two.
+CELLS = 1 << 18
+_SHIFT = np.uint64(64 - CELLS.bit_length() + 1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -34,67 +41,95 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in found], dtype=np.uint64))
 
 
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of shingles that three or more texts of a sample have."""
+def crowding(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall in each cell; of fixed size whatever the data."""
 
     def run(batches):
+        held = np.zeros(CELLS, np.int64)
         for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["key"])
-
-    every = max(1, texts.count() // SAMPLE)
-    counted = texts.filter(F.pmod("h", F.lit(every)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
-    top = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    keys, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+            own = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held += np.bincount((own >> _SHIFT).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    for r in sets.select("own").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["cell"]] = r["n"]
+    return out
 
 
-def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Those of a text's shingles, rarest first, one of which is the first that it shares with any text that reaches 0.8."""
+def prefix(own: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+    """Those of a text's shingles, least crowded first, one of which is the first that it shares with any text that reaches 0.8."""
     n = len(own)
     if not n:
         return own
-    often = np.zeros(n, np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        often = np.where(keys[at] == own, counts[at], 0)
-    return own[np.lexsort((own, often))][: n - (4 * n + 4) // 5 + 1]
+    return own[np.lexsort((own, crowd[(own >> _SHIFT).astype(np.int64)]))][: n - (4 * n + 4) // 5 + 1]
 
 
-def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(src, dst)``: op2's fingerprints of all pairs of texts that reach 0.8, where the fingerprints differ."""
-    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text"))
-    frequent = _frequent(texts)
+def _postings(sets: DataFrame, crowd: np.ndarray) -> DataFrame:
+    shared = sets.sparkSession.sparkContext.broadcast(crowd)  # CELLS numbers
 
-    def first(batches):
+    def run(batches):
         for b in batches:
-            cut, sizes = [], []
-            for t in b.column("text"):
-                own = shingles(t.as_py())
-                sizes.append(len(own))
-                cut.append(prefix(own, *frequent))
+            own = [np.array(x.values, np.int64).view(np.uint64) for x in b.column(1)]
+            cut = [prefix(x, shared.value) for x in own]
             long = [len(c) for c in cut]
             if sum(long):
-                columns = [np.concatenate(cut).view(np.int64), np.repeat(b.column("h").to_numpy(zero_copy_only=False), long), np.repeat(np.array(sizes, np.int32), long), np.concatenate([np.arange(x, dtype=np.int32) for x in long])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h", "n", "pos"])
+                sizes = np.array([len(x) for x in own], np.int32)
+                columns = [np.concatenate(cut).view(np.int64), np.repeat(b.column(0).to_numpy(zero_copy_only=False), long), np.repeat(sizes, long), np.concatenate([np.arange(x, dtype=np.int32) for x in long])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "uid", "n", "pos"])
 
-    def whole(batches):
-        for b in batches:
-            for h, t in zip(b.column("h"), b.column("text")):
-                fp = np.array([fingerprint(t.as_py())], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([h.as_py()], pa.int64()), pa.array(fp), pa.array([shingles(t.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["h", "fp", "own"])
-
-    posts = written(texts.mapInArrow(first, "key long, h long, n int, pos int"), "shingle-prefixes")
-    side = lambda x: posts.select("key", F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
-    after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # the shared one and what is behind it
-    pairs = written(side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (9 * after >= 4 * (F.col("na") + F.col("nb")))).select("a", "b").distinct(), "shingle-pairs")
-    dropped(posts)
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    sets = written(texts.join(ends, "h", "left_semi").dropDuplicates(["h"]).select("h", "text").mapInArrow(whole, "h long, fp long, own array<long>"), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "src", "x"), "a").join(sets.toDF("b", "dst", "y"), "b")
-    reach = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    out = written(both.filter(reach).select("src", "dst").filter("src != dst").distinct(), "similar")
+    return written(sets.select("uid", "own").mapInArrow(run, "key long, uid long, n int, pos int"), "shingle-prefixes")
+
+
+def _possible(na, pa_, nb, pb):
+    """The shared shingle and what is behind it in both texts can make up 0.8."""
+    return 9 * F.least(na - pa_, nb - pb) >= 4 * (na + nb)
+
+
+def _attached(pairs: DataFrame, end: str, sets: DataFrame, name: str, salts: int = 16) -> DataFrame:
+    """``pairs`` with the set of one end; an end of many pairs is spread over cells."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(salts)).cast("int"))
+    told = salted.select(end, "salt").distinct().join(sets.select(F.col("uid").alias(end), F.col("own").alias(name)), end)
+    return salted.join(told, [end, "salt"]).drop("salt")
+
+
+def _reached(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``(a, b)`` whose whole sets reach 0.8."""
+    pairs = written(pairs, "shingle-pairs")
+    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    some = sets.join(small_or_shuffled(ends), "uid", "left_semi")
+    both = _attached(_attached(pairs, "a", some, "x"), "b", some, "y")
+    out = written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "shingle-links")
     dropped(pairs)
-    dropped(sets)
     return out
+
+
+def similar(sets: DataFrame) -> DataFrame:
+    """``(src, dst)``: fingerprints of texts that reach 0.8 and differ in them, from ``(uid, fp, own)``.
+
+    Components over these links and equal fingerprints are those over all pairs
+    that reach 0.8. ``uid`` tells texts apart; texts without a word have an empty
+    set and no link; no rows, no links.
+    """
+    posts = _postings(sets, crowding(sets))
+    led = salted_lookup(posts, "key", "uid", {"lead": (F.min(F.struct("uid", "n", "pos")), F.min), "size": (F.count("*"), F.sum)}, keep="size > 1")
+    near = led.filter((F.col("uid") != F.col("lead.uid")) & _possible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    first = _reached(near.select(F.col("lead.uid").alias("a"), F.col("uid").alias("b")).distinct(), sets)
+
+    found = written(connected_components(first, "a", "b").withColumnRenamed("node", "uid"), "shingle-components")
+    labelled = posts.join(small_or_shuffled(found), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    opened = salted_lookup(labelled, "key", "uid", {"low": (F.min("component"), F.min), "high": (F.max("component"), F.max)}, keep="low < high").drop("low", "high")
+    opened = written(opened, "shingle-open")
+    sizes = opened.groupBy("key", "component").count()
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    outside = sizes.join(largest, "key").filter("component != largest").select("key", "component")
+    end = lambda df, k: df.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "pos", "component")])
+    few = opened.join(outside, ["key", "component"], "left_semi")
+    cross = end(few, 1).join(end(opened, 2), "key").filter((F.col("component1") != F.col("component2")) & _possible(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
+    second = _reached(cross.select(F.least("uid1", "uid2").alias("a"), F.greatest("uid1", "uid2").alias("b")).distinct(), sets)
+    for done in (posts, opened):
+        dropped(done)
+    mark = sets.select("uid", "fp")
+    links = first.union(second).join(mark.toDF("a", "src"), "a").join(mark.toDF("b", "dst"), "b")
+    return links.select("src", "dst").filter("src != dst").distinct()

@@ -14,7 +14,8 @@ Equal fingerprints are merged before keys are made. A bucket with more than
 ``BUCKET`` different fingerprints is not paired: its members are keyed by each
 word within one bit, which two fingerprints share exactly if they differ in at
 most two bits, and linked to the least member under each key; that is linear
-and keeps every component whole.
+and keeps every component whole. (Within one bit, each is linked to those of its
+65 words that are members themselves.)
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm import shingles
 from lodestar.llm.exact_dedup import digest, without_rows
 from lodestar.operators.components import connected_components
-from lodestar.runtime import written
+from lodestar.runtime import dropped, salted_lookup, written
 
 #: Different fingerprints up to which a bucket is compared pair by pair.
 BUCKET = 64
@@ -66,20 +68,27 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keyed: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keyed: bool = False, sets: bool = False) -> DataFrame:
     """``(doc_id, uid, fp)`` of every row, written once; ``fp`` is the fingerprint as a signed long.
 
-    With ``keyed`` the text's ``digest`` comes along.
+    With ``keyed`` the text's ``digest`` comes along, with ``sets`` its five-word
+    shingles as ``own``.
     """
     kept = ["doc_id", "uid"] + ["digest"] * keyed
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(fp)], [*kept, "fp"])
+            columns, names = [b.column(c) for c in kept] + [pa.array(fp)], [*kept, "fp"]
+            if sets:
+                own = [shingles.shingles(t.as_py()).view(np.int64) for t in b.column("text")]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own))))
+                names.append("own")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"), *[digest(text_col).alias("digest")] * keyed)
-    return written(rows.mapInArrow(run, "doc_id long, uid long, " + "digest binary, " * keyed + "fp long"), "fingerprints")
+    return written(rows.mapInArrow(run, "doc_id long, uid long, " + "digest binary, " * keyed + "fp long" + ", own array<long>" * sets), "fingerprints")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -131,7 +140,7 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     """``(src, dst)`` between different fingerprints of column ``fp`` (distinct) that differ in at most two bits.
 
-    Pairs in small buckets are all there; of larger ones enough to join the same components.
+    Pairs in small buckets are all there; of larger ones enough to join the same components (for two bits; for fewer all pairs).
     """
     if not 0 <= bits <= 2:
         raise ValueError("the keys find pairs within two bits")
@@ -142,16 +151,19 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
             row, key = golay_keys(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
-    keys = fps.select("fp").mapInArrow(run, "key long, fp long").repartition("key")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = written(keys.join(sizes.hint("shuffle_hash"), "key"), "golay-buckets")
+    keys = fps.select("fp").mapInArrow(run, "key long, fp long")
+    # the count reads fp too, so that it and the look-up share one shuffle
+    sized = written(salted_lookup(keys, "key", "fp", {"n": (F.count("fp"), F.sum)}, keep="n > 1"), "golay-buckets")
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits
     groups = sized.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     small = groups.select("fps", F.explode("fps").alias("src")).select("src", F.explode("fps").alias("dst")).filter((F.col("src") < F.col("dst")) & near)
     hot = sized.filter(F.col("n") > bucket).select("fp").distinct()
     balls = hot.select("fp", F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)])).alias("e"))
     balls = balls.select("fp", F.col("fp").bitwiseXOR(F.col("e")).alias("ball"))
-    least = balls.groupBy("ball").agg(F.min("fp").alias("dst"))
+    if bits == 2:  # all under one word are within two bits of each other
+        least = balls.groupBy("ball").agg(F.min("fp").alias("dst"))
+    else:  # all pairs: a fingerprint has at most 64 others within one bit
+        least = hot.select(F.col("fp").alias("ball"), F.col("fp").alias("dst"))
     large = balls.join(least, "ball").select(F.col("fp").alias("src"), "dst").filter((F.col("src") != F.col("dst")) & near)
     return small.union(large).distinct()
 
@@ -189,15 +201,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", hexed.alias("fingerprint"), "component_id", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, more: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component (smallest id), all columns kept; ``more`` as in ``components``."""
-    rows = fingerprints(docs, id_col, text_col, shingle, keyed=True)
-    marked = written(components(rows, bits, more), "near-groups")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, jaccard: bool = False) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component (smallest id), all columns kept, whatever their names.
+
+    With ``jaccard`` texts whose five-word shingles have a Jaccard similarity of
+    0.8 are linked too. Nulls, empty texts and repeated rows are as in ``near_groups``.
+    """
+    rows = fingerprints(docs, id_col, text_col, shingle, keyed=True, sets=jaccard)
+    more = shingles.similar(rows.select("uid", "fp", "own")) if jaccard else None
+    marked = written(components(rows.drop("own"), bits, more), "near-groups")
+    dropped(rows)
     keeps = marked.filter("uid = keep_uid").select(F.col("doc_id").alias("i"), F.col("digest").alias("g"))
     lost = marked.filter("uid != keep_uid").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     same = F.col("_id").eqNullSafe(F.col("i")) & (F.col("_digest") == F.col("g"))
-    lost = lost.join(keeps.withColumn("_twin", F.lit(True)), same, "left").select("_id", "_digest", F.coalesce("_twin", F.lit(False)).alias("_twin"))
-    return without_rows(docs, written(lost, "near-copies"), id_col, text_col)
+    lost = written(lost.join(keeps.withColumn("_twin", F.lit(True)), same, "left").select("_id", "_digest", F.coalesce("_twin", F.lit(False)).alias("_twin")), "near-copies")
+    dropped(marked)
+    return without_rows(docs, lost, id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

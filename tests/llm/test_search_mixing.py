@@ -135,6 +135,8 @@ def test_pipeline_stages(spark, sf):
         best[t] = max(best.get(t, i), i)
     assert set(exact) == set(best.values())
     fp = {i: simhash.fingerprint(t) for i, t in exact.items()}
+    words = {i: t.lower().split() for i, t in exact.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     group = {i: i for i in fp}
 
     def find(i):
@@ -144,7 +146,7 @@ def test_pipeline_stages(spark, sf):
 
     for a in fp:
         for b in fp:
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= 2:
+            if a < b and ((fp[a] ^ fp[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0):
                 x, y = sorted((find(a), find(b)))
                 group[y] = x
     assert set(near) == {find(i) for i in fp}
