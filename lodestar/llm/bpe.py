@@ -40,6 +40,8 @@ from lodestar.runtime import removed, shared_path, written
 
 #: Characters of text after which a block is closed (a longer document has a block of its own).
 BLOCK_CHARS = 24_000_000
+#: Most buckets that words are hashed to (a block has a row in each, so they mustn't grow with the input) and that blocks are stored in.
+WORD_BUCKETS, BLOCK_BUCKETS = 2048, 50_000
 #: White space of Unicode, as the pre-tokenizer's regular expression has it (Python's ``\\s`` has four more).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -295,10 +297,11 @@ def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tok
     columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, stored = min(wide, WORD_BUCKETS), min(wide, BLOCK_BUCKETS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    store = split(rows, path, buckets, block_chars).write.partitionBy("kind").bucketBy(buckets, "block").sortBy("block")
+    store = split(rows, path, buckets, block_chars).write.partitionBy("kind").bucketBy(stored, "block").sortBy("block")
     place = shared_path(spark, "bpe-blocks")
     store.option("path", place).option("compression", "uncompressed").saveAsTable(name)
     try:

@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lodestar.runtime import dropped, numbered, small_or_shuffled, written
+
 #: Bytes in a window, filters of each width, and the widths.
 WINDOW, FILTERS, WIDTHS = 512, 10, (2, 3, 4)
-#: Most labelled rows of each language that training reads (the documented bound), and bytes of each.
-PER_LANG, TRAIN_WINDOWS = 400, 3
+#: Most labelled rows of each language that training reads, windows of each row, and rows of all languages (the documented bounds of the sample).
+PER_LANG, TRAIN_WINDOWS, TRAIN_ROWS = 400, 3, 40_000
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _ASCII = re.compile(r"[a-zA-Z]")
 
@@ -171,48 +174,51 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _spread(text: str):
-    """``TRAIN_WINDOWS`` stretches evenly spread over a text, or all of a short one."""
-    n, size = F.length(text), WINDOW
-    parts = [F.substr(F.col(text), (F.lit(1) + F.floor((n - size) * (k / max(1, TRAIN_WINDOWS - 1)))).cast("int"), F.lit(size)) for k in range(TRAIN_WINDOWS)]
-    return F.when(n <= size * TRAIN_WINDOWS, F.col(text)).otherwise(F.concat_ws(" ", *parts))
+def sampled(data: np.ndarray, most: int = TRAIN_WINDOWS) -> np.ndarray:
+    """Up to ``most`` windows evenly spread over all of a text's bytes, whatever its script; full ones where there are any."""
+    w = windows(data)
+    full = max(1, len(data) // WINDOW)
+    return w[np.unique(np.linspace(0, full - 1, min(most, full)).round().astype(int))]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> ByteCNN:
-    """A network fitted on at most ``per_lang`` rows of each language that are not held out.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, rows: int = TRAIN_ROWS) -> ByteCNN:
+    """A network fitted on at most ``per_lang`` rows of each language that are not held out, and ``rows`` in all.
 
-    The sample is the rows with the smallest hashes of id and text; ids and
-    hashes alone are ranked, by a bounded heap a language, before any text is
-    fetched. Of each text up to ``TRAIN_WINDOWS`` windows, evenly spread, train.
-    Null languages and texts without a letter teach nothing; no rows give a
-    network that answers ``und``.
+    Every language takes part: with more than ``rows / per_lang`` of them each
+    has fewer rows, one at least. The sample is rows with the smallest hashes of
+    the id. Of each text ``TRAIN_WINDOWS`` windows, evenly spread, train. Null
+    languages and texts without a letter teach nothing; no rows give a network
+    that answers ``und``.
     """
-    from lodestar.runtime import written
-
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    keyed = rows.select("lang", F.xxhash64("id").alias("h"))
-    # a language's cut: the hash below which about per_lang rows lie
-    cuts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
-    bound = rows.join(F.broadcast(cuts.orderBy(F.desc("n")).limit(1000)), "lang")
-    share = F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("n"))
+    own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("out"))
+    own = own.filter("lang is not null and text is not null and not out")
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, min(per_lang, rows // max(1, sizes.count())))
+    # about half as many again pass by hash alone, so that a window ranks few rows of any language
     unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = written(bound.filter(unit < share).select("lang", "id", "text"), "lang-sample")
+    some = own.join(small_or_shuffled(sizes), "lang").filter(unit < F.lit(1.5 * each + 40) / F.col("n"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sampled(text_bytes(t)).tobytes() if has_letter(t) else b"" for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["lang", "id", "bytes"])
+
+    taught = written(some.select("lang", "id", "text").mapInArrow(cut, "lang string, id string, bytes binary"), "lang-sample")
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "bytes")
+    best = taught.filter("length(bytes) > 0").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
     got: dict[str, list] = {}
-    for (lang,) in some.select("lang").distinct().orderBy("lang").collect():
-        mine = some.filter(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id", "text").limit(per_lang)
-        got[lang] = [r["text"] for r in mine.select(_spread("text").alias("text")).collect()]
-    langs = sorted(k for k, v in got.items() if any(map(has_letter, v)))
-    net, xs, ys, cut = ByteCNN(langs), [], [], np.random.default_rng(3)
-    for y, lang in enumerate(langs):
-        for t in filter(has_letter, got[lang]):
-            w = windows(text_bytes(t))
-            w = w[: max(1, len(w) - 1)][:TRAIN_WINDOWS]
+    for r in best.select("lang", "bytes").orderBy("lang", "r").toLocalIterator():  # at most ``rows`` of TRAIN_WINDOWS windows each
+        got.setdefault(r["lang"], []).append(np.frombuffer(bytes(r["bytes"]), np.uint8).reshape(-1, WINDOW))
+    dropped(taught)
+    net, xs, ys, rng = ByteCNN(sorted(got)), [], [], np.random.default_rng(3)
+    for y, lang in enumerate(net.langs):
+        for w in got[lang]:
             short = w.copy()  # texts of a few words are to be told apart too
-            for row, size in zip(short, cut.integers(8, WINDOW, len(w))):
+            for row, size in zip(short, rng.integers(8, WINDOW, len(w))):
                 row[size:] = 32
             xs += [w, short]
             ys += [y] * 2 * len(w)
-    if langs:
+    if xs:
         net.train(np.concatenate(xs), np.array(ys))
     return net.compiled()
 
@@ -236,10 +242,16 @@ def predict(docs: DataFrame, net: ByteCNN, id_col: str = "doc_id", text_col: str
     return plain.mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without rows that language ID rejects: ``und``, or a score under ``least``; same columns."""
-    net = train(docs, text_col=text_col)
-    return predict(docs, net, text_col=text_col).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without rows that language ID rejects: ``und``, or a score under ``least``.
+
+    Columns stay as they are, whatever their names (a caller's ``score`` or
+    ``lang_pred`` too). Null, empty and letterless texts go; repeated rows are
+    judged each; no rows in, no rows out.
+    """
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    told = predict(numbered(docs), train(docs, id_col, text_col, lang_col), text_col=own[text_col])
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.runtime import BROADCAST_ROWS, written
+from lodestar.runtime import BROADCAST_ROWS, dropped, numbered, small_or_shuffled, written
 
 #: Topics by the strings that mark them; the first that fits counts, ``prose`` where none does.
 TOPICS = (("licence", ("License", "CC BY")), ("table", (" | ",)), ("noisy", ("%%%", "***", "###")))
@@ -24,7 +24,7 @@ TOPICS = (("licence", ("License", "CC BY")), ("table", (" | ",)), ("noisy", ("%%
 SOURCE_POWER, LANG_POWER, TOPIC_POWER = 0.5, 0.7, 0.8
 #: Rounds of raking, and the part of all tokens that a sample shall have.
 ROUNDS, BUDGET, SEED = 12, 0.6, 42
-#: Most (language, topic) pairs whose sums a round may bring to the driver.
+#: Most (language, topic) pairs whose sums a round may bring to the driver; with more, factors are joined to the cells.
 PAIRS = 100_000
 _NONE = "∅"
 
@@ -76,7 +76,7 @@ def rake(cells: DataFrame, source_power: float = SOURCE_POWER, lang_target=LANG_
     """
     pair_sums = {(r["lang"], r["topic"]): float(r["t"]) for r in cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("t")).limit(PAIRS + 1).collect()}
     if len(pair_sums) > PAIRS:
-        raise ValueError(f"more than {PAIRS} pairs of language and topic")
+        return _rake_joined(cells, {"source": source_power, "lang": lang_target, "topic": topic_target}, rounds)
     pairs = sorted(pair_sums)
     total = sum(pair_sums.values())
     if not total:
@@ -109,6 +109,39 @@ def rake(cells: DataFrame, source_power: float = SOURCE_POWER, lang_target=LANG_
     return out.select("source", "c.lang", "c.topic", "c.tokens", weight.alias("weight"))
 
 
+def _goals(cells: DataFrame, margin: str, target) -> DataFrame:
+    """``(margin, goal)``: the tokens that each value of a margin shall have, as ``_shares`` has them."""
+    sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
+    whole = F.broadcast(sums.agg(F.sum("t").alias("total")))  # one row
+    if not isinstance(target, dict):
+        raised = F.when(F.col("t") > 0, F.pow(F.col("t") / F.col("total"), F.lit(target))).otherwise(0.0)
+        rows = sums.crossJoin(whole).withColumn("p", raised)
+        return rows.crossJoin(F.broadcast(rows.agg(F.sum("p").alias("q")))).select(margin, (F.col("p") / F.col("q") * F.col("total")).alias("goal"))
+    listed = F.element_at(F.create_map(*[F.lit(x) for kv in target.items() for x in kv]), F.col(margin))
+    rows = sums.crossJoin(whole).withColumn("p", listed)
+    rest = rows.agg(F.sum("p").alias("q"), F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("t"))), F.lit(0.0)).alias("kept"))
+    goal = F.when(F.col("p").isNull(), F.col("t")).otherwise(F.col("p") / F.col("q") * (F.col("total") - F.col("kept")))
+    return rows.crossJoin(F.broadcast(rest)).select(margin, goal.alias("goal"))
+
+
+def _rake_joined(cells: DataFrame, targets: dict, rounds: int) -> DataFrame:
+    """``rake`` for any number of pairs: each margin's factors are joined to the cells, which are written each round."""
+    goals = {k: written(_goals(cells, k, t), "mix-goals") for k, t in targets.items()}
+    now = cells.select("source", "lang", "topic", "tokens", F.lit(1.0).alias("weight"))
+
+    def fitted(now: DataFrame, margin: str) -> DataFrame:
+        held = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("held")).join(goals[margin], margin)
+        factor = held.select(margin, F.when(F.col("held") > 0, F.col("goal") / F.col("held")).otherwise(1.0).alias("factor"))
+        return now.join(small_or_shuffled(factor), margin).select("source", "lang", "topic", "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+
+    for r in range(rounds + 1):
+        for margin in targets if r < rounds else ["source"]:
+            after = written(fitted(now, margin), "mix-fitted")
+            dropped(now)
+            now = after
+    return now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0))
+
+
 def _factored(rows: DataFrame, pairs: list, f_lang: dict, f_topic: dict) -> DataFrame:
     """Cells ``c`` of each source with the source's factor ``f`` and the pair's ``g``."""
     g = _doubles([f_lang[a] * f_topic[b] for a, b in pairs])
@@ -133,14 +166,11 @@ def calibrated(cells: DataFrame, budget: float = BUDGET, rounds: int = 12) -> Da
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(c)) if total else F.lit(1.0))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS, topics=TOPICS, **targets) -> DataFrame:
-    """``docs`` with ``_topic``, ``_tokens``, ``_weight``, ``_probability`` and ``_kept`` added.
-
-    A null source or language is a value of its own; null and empty texts have
-    no tokens and their cell, if it has none else, weight one. A repeated id
-    shares its fate. No rows in, no rows out.
-    """
-    label = docs.withColumns({"_source": F.coalesce(F.col(source_col), F.lit(_NONE)), "_lang": F.coalesce(F.col(lang_col), F.lit(_NONE)), "_topic": topic_of(text_col, topics), "_tokens": tokens_of(text_col)})
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, budget: float, seed: int, rounds: int, topics, targets: dict) -> DataFrame:
+    """``docs`` under numbered names, with ``_source``, ``_lang`` and the columns of ``mixed``."""
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    id_col, text_col, source_col, lang_col = (own[c] for c in (id_col, text_col, source_col, lang_col))
+    label = numbered(docs).withColumns({"_source": F.coalesce(F.col(source_col), F.lit(_NONE)), "_lang": F.coalesce(F.col(lang_col), F.lit(_NONE)), "_topic": topic_of(text_col, topics), "_tokens": tokens_of(text_col)})
     label = label.withColumn("_topic", F.coalesce("_topic", F.lit("prose")))
     cells = written(label.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "mix-counts")
     weights = written(rake(cells, rounds=rounds, **targets), "mix-weights")
@@ -152,12 +182,28 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         salts = 32
         spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         out = label.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).join(spread, [*keys, "_salt"]).drop("_salt")
-    return out.withColumn("_kept", uniform(id_col, seed) < F.col("_probability")).drop("_source", "_lang")
+    return out.withColumn("_kept", uniform(id_col, seed) < F.col("_probability"))
+
+
+#: Columns that ``mixed`` adds.
+ADDED = ("_topic", "_tokens", "_weight", "_probability", "_kept")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS, topics=TOPICS, **targets) -> DataFrame:
+    """``docs`` with ``_topic``, ``_tokens``, ``_weight``, ``_probability`` and ``_kept`` added (columns so named are replaced).
+
+    A null source or language is a value of its own; null and empty texts have
+    no tokens and their cell, if it has none else, weight one. A repeated id
+    shares its fate. No rows in, no rows out.
+    """
+    out = _decided(docs, id_col, text_col, source_col, lang_col, budget, seed, rounds, topics, targets)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in ADDED], *ADDED)
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``mixed`` keeps, with the columns of ``docs``."""
-    return mixed(docs, **options).filter("_kept").select(*docs.columns)
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS, topics=TOPICS, **targets) -> DataFrame:
+    """The documents that ``mixed`` keeps, with the columns of ``docs``, whatever their names."""
+    out = _decided(docs, id_col, text_col, source_col, lang_col, budget, seed, rounds, topics, targets)
+    return out.filter("_kept").select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words and their beginnings of four, five and six bytes (so a
-compound is known by its stem); each is hashed to one of ``BUCKETS`` buckets and
+compound is known by its stem), and in scripts without spaces between words all
+runs of two and three characters; each is hashed to one of ``BUCKETS`` buckets and
 counts once. The machine's score is ``w0 + sum w_i + sum_{i<j} <v_i, v_j>`` over
 the buckets present: the pair term learns what two terms mean together, such as
 an insult next to a group's name, which additive weights miss.
@@ -9,6 +10,7 @@ an insult next to a group's name, which additive weights miss.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -25,9 +27,12 @@ from lodestar.runtime import dropped, written
 BUCKETS, ACTIVE, FACTORS = 1 << 20, 4096, 8
 #: Most labelled rows of each class that training reads (the documented bound).
 PER_CLASS = 8000
-#: Words whose terms a worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose terms a worker remembers, and the longest of them; longer ones are hashed anew.
+CACHE_WORDS, CACHE_BYTES = 400_000, 256
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Thai, Lao, Burmese and Khmer letters, kana, Han: scripts that don't part words by spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def words(text: str | None) -> set[bytes]:
@@ -36,8 +41,13 @@ def words(text: str | None) -> set[bytes]:
 
 
 def term_buckets(word: bytes) -> list[int]:
-    """Buckets of a word and of its beginnings."""
-    terms = [b"w:" + word[:64]] + [b"%d:%s" % (n, word[:n]) for n in (4, 5, 6) if len(word) > n]
+    """Buckets of all terms of a run: its words, split at whatever is no letter, their beginnings, and characters' n-grams."""
+    parts = [word] if word.isascii() else [p.encode() for p in _LETTERS.findall(word.decode("utf-8", "replace"))]
+    terms = []
+    for p in parts:
+        terms += [b"w:" + p] + [b"%d:%s" % (n, p[:n]) for n in (4, 5, 6) if len(p) > n]
+        if not p.isascii() and _UNSPACED.search(text := p.decode()):
+            terms += {b"g:" + text[k : k + n].encode() for n in (2, 3) for k in range(len(text) - n + 1)}
     return [crc32(t) % BUCKETS for t in terms]
 
 
@@ -62,7 +72,9 @@ class Machine:
             if hit is None:
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
-                hit = cache[w] = tuple({self.place[b] for b in term_buckets(w) if b in self.place})
+                hit = tuple({self.place[b] for b in term_buckets(w) if b in self.place})
+                if len(w) <= CACHE_BYTES:
+                    cache[w] = hit
             if hit:
                 found.update(hit)
         return sorted(found)

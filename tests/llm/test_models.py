@@ -90,6 +90,49 @@ def test_language_edges(spark):
     assert langid.predict(docs.limit(0), net).count() == 0
 
 
+def test_language_clashing_names(spark):
+    rows = [(i, ["the house and the garden of them", "das haus und der garten von ihnen"][i % 2] * 3, ["en", "de"][i % 2]) for i in range(80)] + [(90, None, None), (91, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("mine"), "lang_pred": F.lit(7), "c0": F.lit("c"), "out": F.lit(1), "n": F.lit(2)})
+    out = langid.keep_known(docs)
+    assert out.columns == docs.columns and set(out.collect()) == {r for r in docs.collect() if r.doc_id < 80}
+
+
+def test_every_language_trains(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i % 30) * 40, f"l{i % 30:02}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(langid.train(docs, rows=10).langs) == 30
+
+
+def test_training_windows_reach_the_end():
+    data = langid.text_bytes("中" * 5000 + "é" * 5000)
+    w = langid.sampled(data)
+    assert len(w) == 3 and w[0].tobytes() == data[:512].tobytes() and "é" in w[-1].tobytes().decode("utf-8", "ignore")
+
+
+def test_look_up_tables_equal_convolution():
+    """The scores by tables against filters slid over each window."""
+    rng = np.random.default_rng(1)
+    net = langid.ByteCNN(["a", "b", "c"], seed=2)
+    net.bias += rng.normal(0, 0.1, net.bias.shape).astype(np.float32)
+    x = rng.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
+    got = net.log_probs(x)
+    for row, found in zip(x, got):
+        h = []
+        for conv, bias in zip(net.conv, net.bias):
+            w = len(conv)
+            act = [sum(conv[j][row[p + j]] for j in range(w)) for p in range(len(row) - w + 1)]
+            h.append(np.max(act, 0) + bias)
+        z = np.maximum(np.concatenate(h), 0) @ net.out + net.base
+        assert np.allclose(found, z - np.log(np.exp(z).sum()), atol=1e-4)
+
+
+def test_terms_of_unspaced_and_long_words():
+    long = b"a" * 64
+    assert toxicity.term_buckets(long + b"b") != toxicity.term_buckets(long + b"c")
+    one, two = (set(toxicity.term_buckets(next(iter(toxicity.words("中文字" * 40 + x + "文章。" * 30))))) for x in ("坏人", "好人"))
+    assert one != two
+    assert set(toxicity.term_buckets("été”".encode())) == set(toxicity.term_buckets("été".encode()))
+
+
 def test_whole_text_counts(spark):
     """A long text whose beginning is in another language is judged by all of it."""
     docs = spark.createDataFrame([(i, ["the house and the garden of them", "das haus und der garten von ihnen"][i % 2] * 9, ["en", "de"][i % 2]) for i in range(80)], "doc_id long, text string, lang string")

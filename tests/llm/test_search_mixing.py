@@ -108,6 +108,27 @@ def test_mixing_edges(spark):
     assert mixing.mixed(docs.filter("doc_id = 3")).count() == 1
 
 
+def test_raking_by_joins_equals_raking_by_factors(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", rng.randrange(0, 3) * rng.randrange(1, 5000)) for a in range(6) for b in range(4) for c in range(3) if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    options = dict(lang_target={"l0": 0.5, "l1": 0.2}, rounds=3)
+    want = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, **options).collect()}
+    monkeypatch.setattr(mixing, "PAIRS", 5)
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, **options).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_mixing_clashing_names(spark):
+    rows = [(i, f"text {i} " * 9, "en", f"s{i % 3}") for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = plain.withColumns({c: F.lit(c) for c in ("_source", "_lang", "_topic", "_weight", "_kept", "_tokens", "_probability", "_salt", "c0", "c1")})
+    want = {r.doc_id for r in mixing.sample(plain).collect()}
+    out = mixing.sample(docs)
+    assert out.columns == docs.columns and set(out.collect()) == {r for r in docs.collect() if r.doc_id in want}
+    assert sorted(mixing.mixed(docs).columns) == sorted(docs.columns)
+
+
 def test_mixing_is_native(spark, sf):
     plan = mixing.mixed(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
