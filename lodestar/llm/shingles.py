@@ -4,8 +4,9 @@ Shingles are taken as their 64-bit hashes. Two sets of ``n`` and ``m`` shingles
 reach 0.8 if they share at least ``4 (n + m) / 9``; so in any order that holds
 for all texts, the first shingle they share leaves that many less one behind it
 in both. Only a fifth of a text's shingles can be such a first one. The order is
-by how crowded a shingle's hash cell is over all texts, then by hash: it decides
-how many candidates there are and never which links are found.
+by how often a shingle was met in all texts, then by hash: it decides how many
+candidates there are and never which links are found. Shingles that only one
+text has among its first ones go before anything else is done.
 
 A family of near copies isn't paired with itself. First each text is compared
 with the leader of each of its shingles' buckets, which is linear, and components
@@ -27,9 +28,8 @@ from lodestar.operators.components import connected_components
 from lodestar.runtime import dropped, salted_lookup, small_or_shuffled, written
 
 WORDS = 5
-#: Hash cells that texts are counted in, a power of two.
-CELLS = 1 << 18
-_SHIFT = np.uint64(64 - CELLS.bit_length() + 1)
+#: Shingles that a task counts at a time, and the most frequent ones that are told apart from the rest in the order.
+COUNTED, FREQUENT = 1 << 22, 200_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -41,45 +41,69 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in found], dtype=np.uint64))
 
 
-def crowding(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all texts fall in each cell; of fixed size whatever the data."""
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that many texts have, from one pass over all of them.
+
+    A task counts up to ``COUNTED`` shingles at a time and gives those met more
+    than once; the sums over all tasks are ranked.
+    """
 
     def run(batches):
-        held = np.zeros(CELLS, np.int64)
-        for b in batches:
-            own = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            held += np.bincount((own >> _SHIFT).astype(np.int64), minlength=CELLS)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["cell", "n"])
-
-    out = np.zeros(CELLS, np.int64)
-    for r in sets.select("own").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = r["n"]
-    return out
+        held, size = [], 0
 
+        def counted():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1])], ["key", "n"])
 
-def prefix(own: np.ndarray, crowd: np.ndarray) -> np.ndarray:
-    """Those of a text's shingles, least crowded first, one of which is the first that it shares with any text that reaches 0.8."""
+        for b in batches:
+            for t in b.column(0):
+                held.append(shingles(t.as_py()).view(np.int64))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    met = texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = met.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    keys, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of a text's shingles, rarest first, one of which is the first that it shares with any text that reaches 0.8."""
     n = len(own)
     if not n:
         return own
-    return own[np.lexsort((own, crowd[(own >> _SHIFT).astype(np.int64)]))][: n - (4 * n + 4) // 5 + 1]
+    often = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        often = np.where(keys[at] == own, counts[at], 0)
+    return own[np.lexsort((own, often))][: n - (4 * n + 4) // 5 + 1]
 
 
-def _postings(sets: DataFrame, crowd: np.ndarray) -> DataFrame:
-    shared = sets.sparkSession.sparkContext.broadcast(crowd)  # CELLS numbers
+def _postings(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(key, uid, n, pos)`` of the first shingles that more than one text has among its first ones."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)  # at most FREQUENT pairs
 
     def run(batches):
-        for b in batches:
-            own = [np.array(x.values, np.int64).view(np.uint64) for x in b.column(1)]
-            cut = [prefix(x, shared.value) for x in own]
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            own = [shingles(t.as_py()) for t in b.column(1)]
+            cut = [prefix(x, *shared.value) for x in own]
             long = [len(c) for c in cut]
             if sum(long):
                 sizes = np.array([len(x) for x in own], np.int32)
                 columns = [np.concatenate(cut).view(np.int64), np.repeat(b.column(0).to_numpy(zero_copy_only=False), long), np.repeat(sizes, long), np.concatenate([np.arange(x, dtype=np.int32) for x in long])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "uid", "n", "pos"])
 
-    return written(sets.select("uid", "own").mapInArrow(run, "key long, uid long, n int, pos int"), "shingle-prefixes")
+    posts = written(texts.select("uid", "text").mapInArrow(run, "key long, uid long, n int, pos int"), "shingle-prefixes")
+    again = written(posts.groupBy("key").count().filter("count > 1").select("key"), "shingle-keys")
+    out = written(posts.join(small_or_shuffled(again), "key", "left_semi"), "shingle-postings")
+    dropped(posts)
+    dropped(again)
+    return out
 
 
 def _possible(na, pa_, nb, pb):
@@ -94,28 +118,41 @@ def _attached(pairs: DataFrame, end: str, sets: DataFrame, name: str, salts: int
     return salted.join(told, [end, "salt"]).drop("salt")
 
 
-def _reached(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``(a, b)`` whose whole sets reach 0.8."""
+def _reached(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``(a, b)`` whose whole sets reach 0.8, with their fingerprints: (a, b, src, dst)."""
+    from lodestar.llm.simhash import fingerprint
+
+    def whole(batches):
+        for b in (part.slice(at, 512) for part in batches for at in range(0, part.num_rows, 512)):
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
+            own = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(own, pa.list_(pa.int64()))], ["uid", "fp", "own"])
+
     pairs = written(pairs, "shingle-pairs")
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    some = sets.join(small_or_shuffled(ends), "uid", "left_semi")
+    some = texts.join(small_or_shuffled(ends), "uid", "left_semi").dropDuplicates(["uid"]).select("uid", "text").mapInArrow(whole, "uid long, fp long, own array<long>")
+    some = written(some, "shingle-sets")  # only texts of some pair
     both = _attached(_attached(pairs, "a", some, "x"), "b", some, "y")
-    out = written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "shingle-links")
+    near = both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    mark = some.select("uid", "fp")
+    out = written(near.join(mark.toDF("a", "src"), "a").join(mark.toDF("b", "dst"), "b").select("a", "b", "src", "dst"), "shingle-links")
     dropped(pairs)
+    dropped(some)
     return out
 
 
-def similar(sets: DataFrame) -> DataFrame:
-    """``(src, dst)``: fingerprints of texts that reach 0.8 and differ in them, from ``(uid, fp, own)``.
+def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(src, dst)``: op2's fingerprints of texts that reach 0.8 and differ in them.
 
     Components over these links and equal fingerprints are those over all pairs
-    that reach 0.8. ``uid`` tells texts apart; texts without a word have an empty
-    set and no link; no rows, no links.
+    that reach 0.8. A text is known by a 64-bit hash. Null texts and those
+    without a word have no link; repeated texts count once; no rows, no links.
     """
-    posts = _postings(sets, crowding(sets))
+    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("uid", F.xxhash64("text"))
+    posts = _postings(texts, frequent(texts))
     led = salted_lookup(posts, "key", "uid", {"lead": (F.min(F.struct("uid", "n", "pos")), F.min), "size": (F.count("*"), F.sum)}, keep="size > 1")
     near = led.filter((F.col("uid") != F.col("lead.uid")) & _possible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    first = _reached(near.select(F.col("lead.uid").alias("a"), F.col("uid").alias("b")).distinct(), sets)
+    first = _reached(near.select(F.col("lead.uid").alias("a"), F.col("uid").alias("b")).distinct(), texts)
 
     found = written(connected_components(first, "a", "b").withColumnRenamed("node", "uid"), "shingle-components")
     labelled = posts.join(small_or_shuffled(found), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
@@ -127,9 +164,8 @@ def similar(sets: DataFrame) -> DataFrame:
     end = lambda df, k: df.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "pos", "component")])
     few = opened.join(outside, ["key", "component"], "left_semi")
     cross = end(few, 1).join(end(opened, 2), "key").filter((F.col("component1") != F.col("component2")) & _possible(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
-    second = _reached(cross.select(F.least("uid1", "uid2").alias("a"), F.greatest("uid1", "uid2").alias("b")).distinct(), sets)
-    for done in (posts, opened):
+    second = _reached(cross.select(F.least("uid1", "uid2").alias("a"), F.greatest("uid1", "uid2").alias("b")).distinct(), texts)
+    out = written(first.union(second).select("src", "dst").filter("src != dst").distinct(), "similar")
+    for done in (posts, found, opened, first, second):
         dropped(done)
-    mark = sets.select("uid", "fp")
-    links = first.union(second).join(mark.toDF("a", "src"), "a").join(mark.toDF("b", "dst"), "b")
-    return links.select("src", "dst").filter("src != dst").distinct()
+    return out

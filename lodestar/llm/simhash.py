@@ -68,27 +68,20 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keyed: bool = False, sets: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keyed: bool = False) -> DataFrame:
     """``(doc_id, uid, fp)`` of every row, written once; ``fp`` is the fingerprint as a signed long.
 
-    With ``keyed`` the text's ``digest`` comes along, with ``sets`` its five-word
-    shingles as ``own``.
+    With ``keyed`` the text's ``digest`` comes along.
     """
     kept = ["doc_id", "uid"] + ["digest"] * keyed
 
     def run(batches):
-        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+        for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], dtype=np.uint64).view(np.int64)
-            columns, names = [b.column(c) for c in kept] + [pa.array(fp)], [*kept, "fp"]
-            if sets:
-                own = [shingles.shingles(t.as_py()).view(np.int64) for t in b.column("text")]
-                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own))))
-                names.append("own")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(fp)], [*kept, "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"), *[digest(text_col).alias("digest")] * keyed)
-    return written(rows.mapInArrow(run, "doc_id long, uid long, " + "digest binary, " * keyed + "fp long" + ", own array<long>" * sets), "fingerprints")
+    return written(rows.mapInArrow(run, "doc_id long, uid long, " + "digest binary, " * keyed + "fp long"), "fingerprints")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -207,9 +200,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     With ``jaccard`` texts whose five-word shingles have a Jaccard similarity of
     0.8 are linked too. Nulls, empty texts and repeated rows are as in ``near_groups``.
     """
-    rows = fingerprints(docs, id_col, text_col, shingle, keyed=True, sets=jaccard)
-    more = shingles.similar(rows.select("uid", "fp", "own")) if jaccard else None
-    marked = written(components(rows.drop("own"), bits, more), "near-groups")
+    rows = fingerprints(docs, id_col, text_col, shingle, keyed=True)
+    more = shingles.similar(docs, text_col) if jaccard else None
+    marked = written(components(rows, bits, more), "near-groups")
     dropped(rows)
     keeps = marked.filter("uid = keep_uid").select(F.col("doc_id").alias("i"), F.col("digest").alias("g"))
     lost = marked.filter("uid != keep_uid").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))

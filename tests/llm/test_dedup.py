@@ -208,7 +208,7 @@ def jaccard(a, b):
 def test_pipeline_near_copies_brute_force(spark, monkeypatch, crowded):
     """Near copies around five-word Jaccard 0.8, most of them beyond two bits, among texts that share a long passage."""
     if crowded:  # an order that says nothing: buckets are large, links the same
-        monkeypatch.setattr(shingles, "crowding", lambda sets: np.zeros(shingles.CELLS, np.int64))
+        monkeypatch.setattr(shingles, "FREQUENT", 0)
     rng, rows = random.Random(3), []
     shared = [f"s{k}" for k in range(40)]
     for g in range(30):
@@ -223,8 +223,7 @@ def test_pipeline_near_copies_brute_force(spark, monkeypatch, crowded):
     want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if jaccard(x, y) >= 0.8}
     far = {p for p in want if (fp[p[0]] ^ fp[p[1]]).bit_count() > 2}
     assert len(far) > 30
-    sets = simhash.fingerprints(frame(spark, rows), sets=True).select("uid", "fp", "own")
-    got = {frozenset((r.src % 2**64, r.dst % 2**64)) for r in shingles.similar(sets).collect()}
+    got = {frozenset((r.src % 2**64, r.dst % 2**64)) for r in shingles.similar(frame(spark, rows)).collect()}
     assert got <= {frozenset((fp[a], fp[b])) for a, b in want}
     group = {i: i for i, _ in rows}
 
