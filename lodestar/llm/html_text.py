@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,34 +219,6 @@ def shared_lines(a: list[int], b: list[int]) -> list[bool]:
     return keep
 
 
-def _neighbours(pages: DataFrame, sides: DataFrame) -> DataFrame:
-    """``(uid, before, after)`` of (uid, host, path, content) rows: the pages next to each in its host's order of paths.
-
-    ``sides`` has ``(near, side)``, what is told of a neighbour by its uid.
-    Pages of a host with equal content count as one page, that of the least
-    path. Narrow rows are sorted over all tasks by host and path and numbered,
-    so a host of any size is spread; a page of many copies is reduced and looked
-    up in salted cells.
-    """
-    keyed = pages.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(32)).cast("int"))
-    cells = keyed.groupBy("host", "content", "salt").agg(F.min(F.struct("path", "uid")).alias("first"))
-    once = cells.groupBy("host", "content").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts")).select("host", "content", "first.path", "first.uid", "salts")
-    order = written(once.repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid").withColumn("n", F.monotonically_increasing_id()), "page-order")
-    sizes = {r["part"]: r["count"] for r in order.groupBy(F.shiftright("n", 33).alias("part")).count().collect()}  # one row a partition
-    firsts, total = {}, 0
-    for part in sorted(sizes):
-        firsts[part] = total
-        total += sizes[part]
-    place = order.sparkSession.createDataFrame(sorted(firsts.items()), "part long, first long")
-    at = order.withColumn("part", F.shiftright("n", 33)).join(F.broadcast(place), "part").select("host", "content", "uid", "salts", (F.col("first") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
-    told = at.select("n", "host", F.col("uid").alias("near")).join(sides, "near").drop("near")
-    before = told.select((F.col("n") + 1).alias("n"), F.col("host").alias("h0"), F.col("side").alias("s0"))
-    after = told.select((F.col("n") - 1).alias("n"), F.col("host").alias("h1"), F.col("side").alias("s1"))
-    both = at.join(before, "n", "left").join(after, "n", "left")
-    near = both.select("host", "content", F.explode("salts").alias("salt"), F.when(F.col("h0") == F.col("host"), F.col("s0")).alias("before"), F.when(F.col("h1") == F.col("host"), F.col("s1")).alias("after"))
-    return keyed.join(near, ["host", "content", "salt"]).select("uid", "before", "after")
-
-
 #: A nearest neighbour that shares more than this part of a page's lines may be a near copy: a line goes only if the neighbour on the other side has it too.
 COPY = 0.8
 
@@ -283,6 +256,43 @@ def chosen(kinds: list[int], gone: list[bool]) -> list[bool]:
     return [k == MAIN or k == OPEN and not g and not marked for k, g in zip(kinds, gone)]
 
 
+def _neighbours(pages: DataFrame, sides: DataFrame) -> DataFrame:
+    """``(uid, gone)`` of (uid, host, path, content) rows: a byte a line, one where it is its site's template.
+
+    A page is compared with those next to it in its host's order of paths.
+    ``sides`` has ``(near, side)``, path and line hashes by uid. Pages of a host with equal content count as one page, that of the least
+    path. Narrow rows are sorted over all tasks by host and path and numbered,
+    so a host of any size is spread; a page of many copies is reduced and looked
+    up in salted cells.
+    """
+    keyed = pages.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(32)).cast("int"))
+    cells = keyed.groupBy("host", "content", "salt").agg(F.min(F.struct("path", "uid")).alias("first"))
+    once = cells.groupBy("host", "content").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts")).select("host", "content", "first.path", "first.uid", "salts")
+    order = written(once.repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid").withColumn("n", F.monotonically_increasing_id()), "page-order")
+    sizes = {r["part"]: r["count"] for r in order.groupBy(F.shiftright("n", 33).alias("part")).count().collect()}  # one row a partition
+    firsts, total = {}, 0
+    for part in sorted(sizes):
+        firsts[part] = total
+        total += sizes[part]
+    place = order.sparkSession.createDataFrame(sorted(firsts.items()), "part long, first long")
+    at = order.withColumn("part", F.shiftright("n", 33)).join(F.broadcast(place), "part").select("host", "content", "uid", "salts", (F.col("first") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
+    told = at.select("n", "host", F.col("uid").alias("near")).join(sides, "near").drop("near")
+    before = told.select((F.col("n") + 1).alias("n"), F.col("host").alias("h0"), F.col("side").alias("s0"))
+    after = told.select((F.col("n") - 1).alias("n"), F.col("host").alias("h1"), F.col("side").alias("s1"))
+    both = told.join(before, "n", "left").join(after, "n", "left")
+    both = both.select("n", "side", F.when(F.col("h0") == F.col("host"), F.col("s0")).alias("before"), F.when(F.col("h1") == F.col("host"), F.col("s1")).alias("after"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = []
+            for own, *near in zip(*(c.to_pylist() for c in b.columns[1:])):
+                gone.append(bytes(template(own["hashes"], own["path"] or "", *[x and (x["path"] or "", x["hashes"]) for x in near])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.binary())], ["n", "gone"])
+
+    decided = at.join(both.mapInArrow(compare, "n long, gone binary"), "n").select("host", "content", F.explode("salts").alias("salt"), "gone")
+    return keyed.join(decided, ["host", "content", "salt"]).select("uid", "gone")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars, n_lines, n_shared.
 
@@ -294,43 +304,49 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
             found = [blocks(t.as_py()) for t in b.column(3)]
             marked = [any(k == MAIN for k, _ in f) for f in found]
             kinds = [bytes(k for k, _ in f) for f in found]
             # a line that structure drops whatever the neighbours say needs no text
-            lines = [[t for k, t in f if k == (MAIN if m else OPEN)] for f, m in zip(found, marked)]
+            lines = [squeeze.compress("\n".join([t for k, t in f if k == (MAIN if m else OPEN)]).encode("utf-8", "surrogatepass")) for f, m in zip(found, marked)]
             hashes = [[_line(t) for _, t in f] for f in found]
             content = [xxhash.xxh64_intdigest(np.array(h, np.int64).tobytes()) - (1 << 63) for h in hashes]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(content, pa.int64())],
+                [*b.columns[:3], pa.array(lines, pa.binary()), pa.array(kinds, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(content, pa.int64())],
                 ["uid", "page_id", "url", "lines", "kinds", "hashes", "content"],
             )
 
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
-    parsed = written(rows.mapInArrow(run, f"uid long, page_id {kind}, url string, lines array<string>, kinds binary, hashes array<long>, content long"), "page-lines")
+    parsed = written(rows.mapInArrow(run, f"uid long, page_id {kind}, url string, lines binary, kinds binary, hashes array<long>, content long"), "page-lines")
 
     host = F.lower(F.regexp_extract("url", _HOST, 1))
     path = F.regexp_replace(F.regexp_replace("url", _HOST, ""), "[?#].*$", "")
     placed = parsed.select("uid", "content", host.alias("host"), path.alias("path")).filter("host != ''")
     sides = parsed.select(F.col("uid").alias("near"), F.struct(path.alias("path"), "hashes").alias("side"))
-    compared = parsed.withColumn("path", path).join(_neighbours(placed, sides), "uid", "left")
+    # lines stay compressed until the end: they are shuffled once
+    compared = parsed.select("uid", "page_id", "url", "lines", "kinds").join(_neighbours(placed, sides), "uid", "left")
 
     def drop_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = zstandard.ZstdDecompressor()
         for b in batches:
             text, n, shared = [], [], []
-            for lines, kinds, own, where, *near in zip(*(c.to_pylist() for c in b.columns[2:])):
-                gone = template(own, where or "", *[x and (x["path"], x["hashes"]) for x in near])
-                wanted = MAIN if MAIN in kinds else OPEN
+            for blob, kinds, gone in zip(*(c.to_pylist() for c in b.columns[2:])):
+                gone = list(map(bool, gone)) if gone is not None else [False] * len(kinds)
+                lines = opened.decompress(blob).decode("utf-8", "surrogatepass")
                 stay = chosen(list(kinds), gone)
-                kept = iter(lines)
-                text.append("\n".join([t for t, s in [(next(kept), s) for k, s in zip(kinds, stay) if k == wanted] if s]))
+                wanted = MAIN if MAIN in kinds else OPEN
+                if wanted == OPEN:
+                    kept = iter(lines.split("\n"))
+                    lines = "\n".join([t for t, s in [(next(kept), s) for k, s in zip(kinds, stay) if k == OPEN] if s])
+                text.append(lines)
                 n.append(len(kinds))
                 shared.append(sum(g and not s for g, s in zip(gone, stay)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(shared, pa.int64())], ["page_id", "url", "text", "n_lines", "n_shared"])
 
-    out = compared.select("page_id", "url", "lines", "kinds", "hashes", "path", "before", "after").mapInArrow(drop_shared, f"page_id {kind}, url string, text string, n_lines long, n_shared long")
+    out = compared.select("page_id", "url", "lines", "kinds", "gone").mapInArrow(drop_shared, f"page_id {kind}, url string, text string, n_lines long, n_shared long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
 
 

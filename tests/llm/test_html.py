@@ -102,7 +102,7 @@ def test_differencing_of_real_pages_against_brute_force(spark, sf):
         order = sorted((p, n, ls) for ls, (p, n) in hosts[host].items())
         at = next(k for k, (_, _, ls) in enumerate(order) if ls == lines)
         near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
-        near.sort(key=lambda x: -prefix(path, x[0]))
+        near.sort(key=lambda x: -prefix(order[at][0], x[0]))  # of copies the one of the least path is compared
         n = lcs(lines, near[0][2]) if near else 0
         pairs += bool(near)
         if n <= html_text.COPY * len(lines):
