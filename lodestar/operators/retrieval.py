@@ -55,13 +55,23 @@ def cosine(a: str, b: str) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, least: float | None = None) -> DataFrame:
-    """(qid, id, score): the exact ``n`` nearest of (id, v) for each of a stated, small set of queries (qid, q).
+#: Queries up to which a set of them is broadcast.
+QUERIES = 10_000
+
+
+def asked(rows: DataFrame, queries: DataFrame, on: tuple[str, ...] = (), most: int = QUERIES) -> DataFrame:
+    """Every row with every query (of equal ``on``): the stated queries are broadcast if counted to be few, else sent once to each block of rows."""
+    if queries.count() <= most:
+        return rows.join(F.broadcast(queries), list(on)) if on else rows.join(F.broadcast(queries))
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    return left.join(queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), ["_block", *on]).drop("_block")
 
-    Queries are broadcast: callers state them; for query sets that grow with the
-    data use ``similarity.cosine_join``, which pairs bounded blocks.
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, least: float | None = None) -> DataFrame:
+    """(qid, id, score): the exact ``n`` nearest of (id, v) for each of a stated set of queries (qid, q).
     """
-    j = vectors.join(F.broadcast(queries)).withColumn("score", cosine("v", "q")).filter("score is not null")
+    j = asked(vectors, queries).withColumn("score", cosine("v", "q")).filter("score is not null")
     if least is not None:
         j = j.filter(F.col("score") > least)
     return best(j.select("qid", "id", "score"), "qid", "id", n)
@@ -82,7 +92,7 @@ def two_phase(vectors: DataFrame, queries: DataFrame, candidates: int, n: int) -
     """(qid, id, score): ``candidates`` by Hamming distance of signs, reranked by cosine; ties to the smaller id."""
     v = vectors.select("id", "v", sign_bits("v").alias("vb"))
     q = queries.select("qid", "q", sign_bits("q").alias("qb"))
-    near = v.join(F.broadcast(q)).withColumn("d", hamming("vb", "qb"))
+    near = asked(v, q).withColumn("d", hamming("vb", "qb"))
     near = near.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("d", "id"))).filter(F.col("r") <= candidates)
     return best(near.select("qid", "id", cosine("v", "q").alias("score")), "qid", "id", n)
 

@@ -76,16 +76,16 @@ def strongest(spark, sf):
     return best.select("node", "b.strength", (-F.col("b.r")).alias("record"))
 
 
-_RANGES = """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, epoch(l_shipdate)::BIGINT AS lo, epoch(l_shipdate)::BIGINT + 172800 AS hi FROM lineitem),
-q AS (SELECT o_orderkey AS qid, epoch(o_orderdate)::BIGINT AS qlo, epoch(o_orderdate)::BIGINT + 172800 AS qhi FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+_RANGES = """WITH r AS (SELECT l_orderkey AS id, min(epoch(l_shipdate))::BIGINT AS lo, max(epoch(l_shipdate))::BIGINT AS hi FROM lineitem GROUP BY l_orderkey),
+q AS (SELECT o_orderkey AS qid, epoch(o_orderdate)::BIGINT AS qlo, epoch(o_orderdate)::BIGINT + 172800 AS qhi FROM orders WHERE o_orderstatus = 'P')
 SELECT qid, id FROM r JOIN q ON lo <= qhi AND hi >= qlo"""
 
 
 @query("J11_overlap_join", _RANGES)
 def overlap(spark, sf):
-    r = T.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), T.epoch("l_shipdate").alias("lo"), (T.epoch("l_shipdate") + 172800).alias("hi"))
-    q = T.table(spark, sf, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("qid"), T.epoch("o_orderdate").alias("qlo"), (T.epoch("o_orderdate") + 172800).alias("qhi"))
-    return R.overlap_join(r, q, 4 * 86400).select("qid", "id")
+    r = T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(T.epoch("l_shipdate")).alias("lo"), F.max(T.epoch("l_shipdate")).alias("hi"))
+    q = T.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("qid"), T.epoch("o_orderdate").alias("qlo"), (T.epoch("o_orderdate") + 172800).alias("qhi"))
+    return R.overlap_join(r, q, 7 * 86400).select("qid", "id")
 
 
 @query("J13_nearest_in_time", T.sql("ev") + """, n AS (SELECT a.event_id AS anchor, b.event_id, row_number() OVER (PARTITION BY a.event_id, b.sec > a.sec ORDER BY abs(b.sec - a.sec), b.event_id) AS rn

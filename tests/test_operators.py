@@ -183,3 +183,13 @@ def test_fuzzy_tier_asks_every_item(spark, sf):
         scores = {(i, r.id): difflib.SequenceMatcher(None, items[i], r.content[:200]).ratio() * 0.6 for r in records}
         own = {k: v for k, v in got.items() if k[0] == i}
         assert set(own) == {k for k, v in scores.items() if v > 0.05} and all(abs(v - scores[k]) < 1e-6 for k, v in own.items())
+
+
+def test_asked_in_blocks_equals_broadcast(spark):
+    from lodestar.operators import retrieval
+
+    rows = spark.createDataFrame([(i, i % 3) for i in range(40)], "id long, h int")
+    asks = spark.createDataFrame([(100 + i, i % 3) for i in range(15)], "qid long, h int")
+    for on, q in (((), asks.select("qid")), (("h",), asks)):
+        few, many = ([sorted(map(repr, retrieval.asked(rows, q, on, most).select("id", "qid", "h").collect())) for most in (100, 3)])
+        assert few == many and len(few) == (200 if on else 600)
