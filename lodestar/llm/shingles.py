@@ -8,6 +8,11 @@ by how often a shingle was met in all texts, then by hash: it decides how many
 candidates there are and never which links are found. Shingles that only one
 text has among its first ones go before anything else is done.
 
+Candidates are first held against each other by sketches of 1,024 bits, which
+never rule out a pair that reaches 0.8; whole sets are only moved for pairs that
+are left. Which texts those are is told by a bit array of fixed size, so no text
+is shuffled, however many there are.
+
 A family of near copies isn't paired with itself. First each text is compared
 with the leader of each of its shingles' buckets, which is linear, and components
 are taken over the pairs that reach 0.8. Then the buckets that hold more than one
@@ -20,16 +25,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.components import connected_components
-from lodestar.runtime import dropped, salted_lookup, small_or_shuffled, written
+from lodestar.runtime import dropped, released, salted_lookup, small_or_shuffled, written
 
 WORDS = 5
 #: Shingles that a task counts at a time, and the most frequent ones that are told apart from the rest in the order.
 COUNTED, FREQUENT = 1 << 22, 200_000
+#: Longs of a sketch, and bits (8 MB) by which ids are told before any row is moved.
+LANES, KNOWN = 16, 1 << 26
+_LANES = [f"s{k}" for k in range(LANES)]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,7 +74,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield counted()
 
-    met = texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    met = texts.select("text").mapInArrow(released(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = met.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
     keys, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
@@ -84,26 +93,64 @@ def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, often))][: n - (4 * n + 4) // 5 + 1]
 
 
-def _postings(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(key, uid, n, pos)`` of the first shingles that more than one text has among its first ones."""
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A set of shingles as ``64 * LANES`` bits, each the parity of the shingles that fall on it.
+
+    A shingle that only one of two sets has turns one bit over, so two sketches
+    differ in no more bits than their sets in shingles.
+    """
+    odd = np.bincount((own % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def known(ids: DataFrame) -> np.ndarray:
+    """A bit array of fixed size, on the driver, with the bits of all ``ids`` (one column of longs) set; others may be set too."""
+    at = ids.toDF("id").select((F.pmod("id", F.lit(KNOWN)) + 1).alias("at"))
+    placed = at.select(F.bitmap_bucket_number("at").alias("part"), F.bitmap_bit_position("at").alias("bit")).repartition("part")
+    out = np.zeros(KNOWN // 8, np.uint8)
+    for r in placed.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ``ids`` may be among those that ``bits`` was made of."""
+    at = np.mod(ids, KNOWN)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _firsts(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(uid, n, keys, s0, s1, ...)``, one row a text: the number of its shingles, the first of them in order, and its sketch."""
     shared = texts.sparkSession.sparkContext.broadcast(often)  # at most FREQUENT pairs
 
     def run(batches):
         for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             own = [shingles(t.as_py()) for t in b.column(1)]
-            cut = [prefix(x, *shared.value) for x in own]
-            long = [len(c) for c in cut]
-            if sum(long):
-                sizes = np.array([len(x) for x in own], np.int32)
-                columns = [np.concatenate(cut).view(np.int64), np.repeat(b.column(0).to_numpy(zero_copy_only=False), long), np.repeat(sizes, long), np.concatenate([np.arange(x, dtype=np.int32) for x in long])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "uid", "n", "pos"])
-
-    posts = written(texts.select("uid", "text").mapInArrow(run, "key long, uid long, n int, pos int"), "shingle-prefixes")
-    again = written(posts.groupBy("key").count().filter("count > 1").select("key"), "shingle-keys")
-    out = written(posts.join(small_or_shuffled(again), "key", "left_semi"), "shingle-postings")
-    dropped(posts)
-    dropped(again)
-    return out
+            cut = [prefix(x, *shared.value).view(np.int64) for x in own]
+            marks = np.array([sketch(x) for x in own], np.int64).reshape(len(own), LANES)
+            sizes = pa.array([len(x) for x in own], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(cut, pa.list_(pa.int64())), *map(pa.array, marks.T.copy())], ["uid", "n", "keys", *_LANES])
+
+    lanes = ", ".join(f"{c} long" for c in _LANES)
+    return written(texts.select("uid", "text").mapInArrow(released(run), f"uid long, n int, keys array<long>, {lanes}"), "shingle-firsts")
+
+
+def _postings(firsts: DataFrame) -> DataFrame:
+    """``(key, uid, n, pos)`` of the first shingles that more than one row has among its first ones (and of a few others)."""
+    again = firsts.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key")
+    bits = firsts.sparkSession.sparkContext.broadcast(known(again))
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(2)
+            long = pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False)
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            stay = _has(bits.value, flat)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(long) - long, long)
+            columns = [flat, *(np.repeat(b.column(k).to_numpy(zero_copy_only=False), long) for k in (0, 1)), pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in columns], ["key", "uid", "n", "pos"])
+
+    return written(firsts.select("uid", "n", "keys").mapInArrow(released(run), "key long, uid long, n int, pos int"), "shingle-postings")
 
 
 def _possible(na, pa_, nb, pb):
@@ -111,31 +158,48 @@ def _possible(na, pa_, nb, pb):
     return 9 * F.least(na - pa_, nb - pb) >= 4 * (na + nb)
 
 
-def _attached(pairs: DataFrame, end: str, sets: DataFrame, name: str, salts: int = 16) -> DataFrame:
-    """``pairs`` with the set of one end; an end of many pairs is spread over cells."""
+def _attached(pairs: DataFrame, end: str, rows: DataFrame, salts: int = 16) -> DataFrame:
+    """``pairs`` with the columns of one end's row of ``rows``, named for the end; an end of many pairs is spread over cells."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(salts)).cast("int"))
-    told = salted.select(end, "salt").distinct().join(sets.select(F.col("uid").alias(end), F.col("own").alias(name)), end)
+    named = rows.select(F.col("uid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "uid"])
+    told = salted.select(end, "salt").distinct().join(named, end)
     return salted.join(told, [end, "salt"]).drop("salt")
 
 
-def _reached(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _hopeful(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``(a, b)`` that their sketches leave: two sets that reach 0.8 differ in at most a ninth of their sizes' sum."""
+    marks = firsts.select("uid", "n", *_LANES).dropDuplicates(["uid"])
+    both = _attached(_attached(pairs, "a", marks), "b", marks)
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _LANES), F.lit(0))
+    return both.filter(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
+def _reached(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct pairs ``(a, b)`` whose whole sets reach 0.8, with their fingerprints: (a, b, src, dst)."""
     from lodestar.llm.simhash import fingerprint
 
+    pairs = written(_hopeful(pairs, firsts), "shingle-pairs")
+    bits = texts.sparkSession.sparkContext.broadcast(known(pairs.select("a").union(pairs.select("b"))))
+
     def whole(batches):
+        met: set[int] = set()
         for b in (part.slice(at, 512) for part in batches for at in range(0, part.num_rows, 512)):
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            own = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(own, pa.list_(pa.int64()))], ["uid", "fp", "own"])
-
-    pairs = written(pairs, "shingle-pairs")
-    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    some = texts.join(small_or_shuffled(ends), "uid", "left_semi").dropDuplicates(["uid"]).select("uid", "text").mapInArrow(whole, "uid long, fp long, own array<long>")
-    some = written(some, "shingle-sets")  # only texts of some pair
-    both = _attached(_attached(pairs, "a", some, "x"), "b", some, "y")
-    near = both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-    mark = some.select("uid", "fp")
-    out = written(near.join(mark.toDF("a", "src"), "a").join(mark.toDF("b", "dst"), "b").select("a", "b", "src", "dst"), "shingle-links")
+            uids = b.column(0).to_numpy(zero_copy_only=False)
+            found = {u: k for k, u in enumerate(uids.tolist()) if u not in met} if len(uids) else {}
+            asked = [k for u, k in found.items() if _has(bits.value, np.int64(u))]
+            if asked:
+                met.update(uids[asked].tolist())
+                text = [b.column(1)[k].as_py() for k in asked]
+                fp = np.array([fingerprint(t) for t in text], dtype=np.uint64).view(np.int64)
+                own = [shingles(t).view(np.int64) for t in text]
+                yield pa.RecordBatch.from_arrays([pa.array(uids[asked]), pa.array(fp), pa.array(own, pa.list_(pa.int64()))], ["uid", "fp", "own"])
+
+    # only texts of some pair, which are told without moving any; a task gives a repeated text once
+    some = written(texts.select("uid", "text").mapInArrow(released(whole), "uid long, fp long, own array<long>"), "shingle-sets")
+    once = some.dropDuplicates(["uid"])
+    both = _attached(_attached(pairs, "a", once), "b", once)
+    near = both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b")))
+    out = written(near.select("a", "b", F.col("fp_a").alias("src"), F.col("fp_b").alias("dst")), "shingle-links")
     dropped(pairs)
     dropped(some)
     return out
@@ -149,10 +213,11 @@ def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
     without a word have no link; repeated texts count once; no rows, no links.
     """
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("uid", F.xxhash64("text"))
-    posts = _postings(texts, frequent(texts))
+    firsts = _firsts(texts, frequent(texts))
+    posts = _postings(firsts)
     led = salted_lookup(posts, "key", "uid", {"lead": (F.min(F.struct("uid", "n", "pos")), F.min), "size": (F.count("*"), F.sum)}, keep="size > 1")
     near = led.filter((F.col("uid") != F.col("lead.uid")) & _possible(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    first = _reached(near.select(F.col("lead.uid").alias("a"), F.col("uid").alias("b")).distinct(), texts)
+    first = _reached(near.select(F.col("lead.uid").alias("a"), F.col("uid").alias("b")).distinct(), firsts, texts)
 
     found = written(connected_components(first, "a", "b").withColumnRenamed("node", "uid"), "shingle-components")
     labelled = posts.join(small_or_shuffled(found), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
@@ -164,8 +229,8 @@ def similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
     end = lambda df, k: df.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "pos", "component")])
     few = opened.join(outside, ["key", "component"], "left_semi")
     cross = end(few, 1).join(end(opened, 2), "key").filter((F.col("component1") != F.col("component2")) & _possible(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
-    second = _reached(cross.select(F.least("uid1", "uid2").alias("a"), F.greatest("uid1", "uid2").alias("b")).distinct(), texts)
+    second = _reached(cross.select(F.least("uid1", "uid2").alias("a"), F.greatest("uid1", "uid2").alias("b")).distinct(), firsts, texts)
     out = written(first.union(second).select("src", "dst").filter("src != dst").distinct(), "similar")
-    for done in (posts, found, opened, first, second):
+    for done in (firsts, posts, found, opened, first, second):
         dropped(done)
     return out

@@ -237,3 +237,28 @@ def test_pipeline_near_copies_brute_force(spark, monkeypatch, crowded):
         group[y] = x
     kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, frame(spark, rows), "").collect()}
     assert kept == {find(i) for i in group}
+
+
+def test_candidates_meet_by_sketches(spark, monkeypatch):
+    """Texts that share a rare passage and little else are candidates, but no set of theirs is moved; a sketch never parts two sets that reach 0.8."""
+    rng, rows, sizes = random.Random(5), [], {}
+    for g in range(20):
+        passage = [f"p{g}x{k}" for k in range(12)]
+        rows += [(len(rows) + k, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(200)])) for k in range(5)]
+    rows += [(100, rows[0][1] + " end")]
+
+    def counted(df, name, codec="zstd"):
+        out = written(df, name, codec)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    written = shingles.written
+    monkeypatch.setattr(shingles, "written", counted)
+    assert shingles.similar(frame(spark, rows)).count() == 1
+    assert sum(sizes["shingle-pairs"]) == 1 and sum(sizes["shingle-sets"]) == 2
+    for n in (1, 40, 3000):
+        base = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        for lost in range(0, n // 9 + 1, max(1, n // 40)):
+            other = np.concatenate([base[lost:], np.array([rng.getrandbits(64) for _ in range(lost)], np.uint64)])
+            x, y = shingles.sketch(base).view(np.uint8), shingles.sketch(other).view(np.uint8)
+            assert np.unpackbits(x ^ y).sum() <= 2 * lost
