@@ -132,7 +132,9 @@ def _firsts(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(cut, pa.list_(pa.int64())), *map(pa.array, marks.T.copy())], ["uid", "n", "keys", *_LANES])
 
     lanes = ", ".join(f"{c} long" for c in _LANES)
-    return written(texts.select("uid", "text").mapInArrow(released(run), f"uid long, n int, keys array<long>, {lanes}"), "shingle-firsts")
+    out = written(texts.select("uid", "text").mapInArrow(released(run), f"uid long, n int, keys array<long>, {lanes}"), "shingle-firsts")
+    shared.destroy()  # the driver keeps a broadcast otherwise, in its heap and in its Python
+    return out
 
 
 def _postings(firsts: DataFrame) -> DataFrame:
@@ -150,7 +152,9 @@ def _postings(firsts: DataFrame) -> DataFrame:
             columns = [flat, *(np.repeat(b.column(k).to_numpy(zero_copy_only=False), long) for k in (0, 1)), pos.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in columns], ["key", "uid", "n", "pos"])
 
-    return written(firsts.select("uid", "n", "keys").mapInArrow(released(run), "key long, uid long, n int, pos int"), "shingle-postings")
+    out = written(firsts.select("uid", "n", "keys").mapInArrow(released(run), "key long, uid long, n int, pos int"), "shingle-postings")
+    bits.destroy()
+    return out
 
 
 def _possible(na, pa_, nb, pb):
@@ -196,6 +200,7 @@ def _reached(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame
 
     # only texts of some pair, which are told without moving any; a task gives a repeated text once
     some = written(texts.select("uid", "text").mapInArrow(released(whole), "uid long, fp long, own array<long>"), "shingle-sets")
+    bits.destroy()
     once = some.dropDuplicates(["uid"])
     both = _attached(_attached(pairs, "a", once), "b", once)
     near = both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b")))

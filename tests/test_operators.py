@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.functions import calibration, text
-from lodestar.operators import graph, ranking, relational, retrieval, similarity, temporal
+from lodestar.operators import components, graph, ranking, relational, retrieval, similarity, temporal
 from lodestar.operators.components import connected_components
 
 
@@ -38,6 +38,34 @@ def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_a_short_list_take_few_jobs(spark):
+    """A path of 300 nodes took rounds of jobs, whose plans and threads stayed with the driver."""
+    path = spark.createDataFrame([(i, i + 1) for i in range(299)], "src long, dst long")
+    sc = spark.sparkContext
+    sc.setJobGroup("short-list", "components of a short list")
+    try:
+        got = connected_components(path).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in got) == [(i, 0) for i in range(300)]
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("short-list")) <= 5
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    far = [-(1 << 63), (1 << 63) - 1, -1, 0]
+    edges = [(rng.choice(far) if rng.random() < 0.1 else rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(80)] + [(500, 500), (None, 4)]
+    for kind in ("long", "int"):
+        rows = edges if kind == "long" else [(u, v) for u, v in edges if u not in far]
+        df = spark.createDataFrame(rows, f"src {kind}, dst {kind}")
+        once = connected_components(df)
+        monkeypatch.setattr(components, "ONE_TASK", -1)
+        rounds = connected_components(df)
+        monkeypatch.undo()
+        assert once.dtypes == rounds.dtypes
+        assert sorted(map(tuple, once.collect())) == sorted(map(tuple, rounds.collect()))
+
+
 def test_jaccard_join_brute_force(spark):
     rng = random.Random(3)
     sets = {i: set(rng.sample(range(25), rng.randint(1, 9))) for i in range(60)}
