@@ -153,6 +153,10 @@ def _line(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _content(hashes: list[int]) -> int:
+    return xxhash.xxh64_intdigest(np.array(hashes, np.int64).tobytes()) - (1 << 63)
+
+
 #: Bits of an alignment's table that are held at once (32 MB); larger tables are cut in halves.
 TABLE_BITS = 1 << 28
 
@@ -257,16 +261,15 @@ def chosen(kinds: list[int], gone: list[bool]) -> list[bool]:
 
 
 def _neighbours(pages: DataFrame, sides: DataFrame) -> DataFrame:
-    """``(uid, gone)`` of (uid, host, path, content) rows: a byte a line, one where it is its site's template.
+    """``(host, content, salt, gone)`` once for (uid, host, path, content, salt) rows: a byte a line, one where it is its site's template.
 
     A page is compared with those next to it in its host's order of paths.
     ``sides`` has ``(near, side)``, path and line hashes by uid. Pages of a host with equal content count as one page, that of the least
     path. Narrow rows are sorted over all tasks by host and path and numbered,
     so a host of any size is spread; a page of many copies is reduced and looked
-    up in salted cells.
+    up in its cells of ``salt``.
     """
-    keyed = pages.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(32)).cast("int"))
-    cells = keyed.groupBy("host", "content", "salt").agg(F.min(F.struct("path", "uid")).alias("first"))
+    cells = pages.groupBy("host", "content", "salt").agg(F.min(F.struct("path", "uid")).alias("first"))
     once = cells.groupBy("host", "content").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts")).select("host", "content", "first.path", "first.uid", "salts")
     order = written(once.repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid").withColumn("n", F.monotonically_increasing_id()), "page-order")
     sizes = {r["part"]: r["count"] for r in order.groupBy(F.shiftright("n", 33).alias("part")).count().collect()}  # one row a partition
@@ -289,8 +292,7 @@ def _neighbours(pages: DataFrame, sides: DataFrame) -> DataFrame:
                 gone.append(bytes(template(own["hashes"], own["path"] or "", *[x and (x["path"] or "", x["hashes"]) for x in near])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.binary())], ["n", "gone"])
 
-    decided = at.join(both.mapInArrow(compare, "n long, gone binary"), "n").select("host", "content", F.explode("salts").alias("salt"), "gone")
-    return keyed.join(decided, ["host", "content", "salt"]).select("uid", "gone")
+    return at.join(both.mapInArrow(compare, "n long, gone binary"), "n").select("host", "content", F.explode("salts").alias("salt"), "gone")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -303,7 +305,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     whatever their names, are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [[_line(t) for _, t in blocks(x.as_py())] for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array([_content(h) for h in hashes], pa.int64())], ["uid", "url", "salt", "hashes", "content"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
             found = [blocks(t.as_py()) for t in b.column(3)]
@@ -311,23 +318,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             kinds = [bytes(k for k, _ in f) for f in found]
             # a line that structure drops whatever the neighbours say needs no text
             lines = [squeeze.compress("\n".join([t for k, t in f if k == (MAIN if m else OPEN)]).encode("utf-8", "surrogatepass")) for f, m in zip(found, marked)]
-            hashes = [[_line(t) for _, t in f] for f in found]
-            content = [xxhash.xxh64_intdigest(np.array(h, np.int64).tobytes()) - (1 << 63) for h in hashes]
+            content = [_content([_line(t) for _, t in f]) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(lines, pa.binary()), pa.array(kinds, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(content, pa.int64())],
-                ["uid", "page_id", "url", "lines", "kinds", "hashes", "content"],
+                [*b.columns[:3], pa.array(lines, pa.binary()), pa.array(kinds, pa.binary()), pa.array(content, pa.int64())],
+                ["page_id", "url", "salt", "lines", "kinds", "content"],
             )
 
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.pmod(F.xxhash64(id_col, url_col), F.lit(32)).cast("int").alias("salt"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
-    parsed = written(rows.mapInArrow(run, f"uid long, page_id {kind}, url string, lines binary, kinds binary, hashes array<long>, content long"), "page-lines")
+    # pages are cut twice: texts are never written beside the one shuffle that takes them to their decisions
+    narrow = rows.select(F.monotonically_increasing_id().alias("uid"), "url", "salt", "html")
+    parsed = written(narrow.mapInArrow(hashed, "uid long, url string, salt int, hashes array<long>, content long"), "page-lines")
 
     host = F.lower(F.regexp_extract("url", _HOST, 1))
     path = F.regexp_replace(F.regexp_replace("url", _HOST, ""), "[?#].*$", "")
-    placed = parsed.select("uid", "content", host.alias("host"), path.alias("path")).filter("host != ''")
+    placed = parsed.select("uid", "content", "salt", host.alias("host"), path.alias("path")).filter("host != ''")
     sides = parsed.select(F.col("uid").alias("near"), F.struct(path.alias("path"), "hashes").alias("side"))
-    # lines stay compressed until the end: they are shuffled once
-    compared = parsed.select("uid", "page_id", "url", "lines", "kinds").join(_neighbours(placed, sides), "uid", "left")
+    # a page's decision is that of its host and content, which need no number that two readings would have to agree on
+    texts = rows.mapInArrow(cut, f"page_id {kind}, url string, salt int, lines binary, kinds binary, content long").withColumn("host", host)
+    compared = texts.join(_neighbours(placed, sides), ["host", "content", "salt"], "left")
 
     def drop_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()

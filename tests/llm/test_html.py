@@ -130,6 +130,19 @@ def test_nearest_neighbour_and_near_copies(spark):
     assert got[22].startswith("menu 0") and got[23] == "else"
 
 
+def test_no_table_holds_texts(spark, monkeypatch):
+    """The page table held all lines, which were then shuffled as well: more disk than the input."""
+    held, whole = [], html_text.written
+    monkeypatch.setattr(html_text, "written", lambda df, name: held.append(df.schema) or whole(df, name))
+    page = lambda i: f"<div>site name</div><p>own text {i}</p><div>imprint</div>"
+    rows = [(i, f"http://H{i % 2}.com/a/{i // 2}", page(i)) for i in range(12)] * 2 + [(None, None, page(1)), (None, "/x", None), (None, "/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = sorted((r.page_id if r.page_id is not None else -1, r.text, r.n_lines, r.n_shared) for r in html_text.extract(df).collect())
+    alone = "site name\nown text 1\nimprint"
+    assert got == sorted([(i, f"own text {i}", 3, 2) for i in range(12)] * 2 + [(-1, alone, 3, 0), (-1, "", 0, 0), (-1, "", 0, 0)])
+    assert held and not any(f.name in ("html", "lines", "text") or f.dataType.simpleString() == "binary" for schema in held for f in schema)
+
+
 def test_many_copies_of_one_page(spark):
     rows = [(i, f"http://h.com/{i:04}", "<div>top</div><p>same</p>" if i % 3 else f"<div>top</div><p>own {i}</p>") for i in range(600)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
