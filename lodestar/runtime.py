@@ -115,7 +115,9 @@ def salted_lookup(rows: DataFrame, key: str, salt_from: str, aggs: dict, salts:
     shuffled once, by cell, and a group's result is sent only to the cells that
     exist. With ``keep``, a condition on the aggregates, the rows of other groups go.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")).repartition(key, "_salt")
+    # never null, or the join filters nulls on one side only, and the two readings of the rows can't share a shuffle
+    salt = F.coalesce(F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"), F.lit(0))
+    salted = rows.withColumn("_salt", salt).repartition(key, "_salt")
     cells = salted.groupBy(key, "_salt").agg(*[p.alias(c) for c, (p, _) in aggs.items()])
     totals = cells.groupBy(key).agg(*[f(F.col(c)).alias(c) for c, (_, f) in aggs.items()], F.collect_list("_salt").alias("_salts"))
     if keep:

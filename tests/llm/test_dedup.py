@@ -262,3 +262,84 @@ def test_candidates_meet_by_sketches(spark, monkeypatch):
             other = np.concatenate([base[lost:], np.array([rng.getrandbits(64) for _ in range(lost)], np.uint64)])
             x, y = shingles.sketch(base).view(np.uint8), shingles.sketch(other).view(np.uint8)
             assert np.unpackbits(x ^ y).sum() <= 2 * lost
+
+
+def test_long_candidates_meet_by_longer_sketches(spark, monkeypatch):
+    """Long texts that share a rare passage and little else: sketches of 1,024 bits leave all their pairs, the longer ones none."""
+    monkeypatch.setattr(shingles, "FREQUENT", 0)  # else the passage, met more than once, comes last
+    rng, rows, sizes = random.Random(6), [], {}
+    for g in range(3):
+        passage = [f"p{g}x{k}" for k in range(12)]
+        rows += [(len(rows) + k, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(4000 + 300 * k)])) for k in range(4)]
+    copy = rows[1][1].split()
+    copy[2000:2600] = copy[1000:1100]  # fewer words, another length of sketch than the text of which it is a near copy
+    rows += [(100, " ".join(copy))]
+    assert jaccard(rows[1][1], rows[-1][1]) >= 0.8
+    assert len({len(shingles.fine(shingles.shingles(rows[k][1]))) for k in (1, -1)}) == 2
+
+    def counted(df, name, codec="zstd"):
+        out = written(df, name, codec)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    written = shingles.written
+    monkeypatch.setattr(shingles, "written", counted)
+    assert shingles.similar(frame(spark, rows)).count() == 1
+    assert sum(sizes["shingle-pairs"]) == 1 and sum(sizes["shingle-sets"]) == 2 and sum(sizes["shingle-candidates"]) > 5
+
+
+def test_longer_sketches_fold():
+    """Half over half, a longer sketch is that of half the length, and none tells more apart than there is."""
+    rng = random.Random(7)
+    for n in (1025, 2048, 2049, 5000):
+        own = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        long = shingles.fine(own)
+        assert n <= 64 * len(long) < 2 * n
+        assert (long[: len(long) // 2] ^ long[len(long) // 2 :]).tolist() == shingles.sketch(own, len(long) // 2).tolist()
+        other = np.concatenate([own[n // 9 :], np.array([rng.getrandbits(64) for _ in range(n // 9)], np.uint64)])
+        assert np.unpackbits((long ^ shingles.fine(other)).view(np.uint8)).sum() <= 2 * (n // 9)
+    assert len(shingles.fine(own[:1024])) == 0
+
+
+@pytest.mark.parametrize("hot", [1, 4])
+def test_hot_shingles(spark, monkeypatch, hot):
+    """Shingles of many postings are taken in salted cells, with the same leaders, open buckets and components."""
+    monkeypatch.setattr(shingles, "FREQUENT", 0)
+    rng, rows = random.Random(8), []
+    shared = [f"s{k}" for k in range(40)]
+    for g in range(12):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.choice([9, 40, 120]))] + shared * (g % 2)
+        for edits in (0, 1, 1, 2, 3, 5):
+            now = list(base)
+            for _ in range(edits):
+                now[rng.randrange(len(now))] = f"e{rng.randrange(900)}"
+            rows.append((len(rows), " ".join(now)))
+    texts = frame(spark, rows).select("text", F.xxhash64("text").alias("uid"))
+    firsts = shingles._firsts(texts, shingles.frequent(texts))
+    posts, none = shingles._postings(firsts)
+    monkeypatch.setattr(shingles, "HOT", hot)
+    again, some = shingles._postings(firsts)
+    held = posts.groupBy("key").count().filter(F.col("count") > hot)
+    assert none is None and sorted(some.collect()) == sorted(held.select("key").collect()) and held.count() > 20
+    assert posts.join(some, "key", "left_anti").count() > 20 or hot == 1
+    flat = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert flat(shingles._led(posts, None)) == flat(shingles._led(again, some))
+    labels = lambda df: df.withColumn("component", F.pmod("uid", F.lit(5)))
+    opened = flat(shingles._opened(labels(posts), None))
+    assert len(opened) > 50 and opened == flat(shingles._opened(labels(again), some))
+
+
+def test_salted_lookup_shuffles_rows_once(spark, tmp_path):
+    """Both readings of the rows, for the groups and for the look-up, take one shuffle."""
+    from lodestar.runtime import salted_lookup
+
+    spark.range(1000).selectExpr("id % 7 key", "id fp").write.parquet(str(tmp_path / "rows"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that shows its reuse before it runs
+    try:
+        out = salted_lookup(spark.read.parquet(str(tmp_path / "rows")), "key", "fp", {"n": (F.count("fp"), F.sum)}, keep="n > 142")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan
+        assert sorted({(r.key, r.n) for r in out.collect()}) == [(k, 143) for k in range(6)] and out.count() == 858
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
