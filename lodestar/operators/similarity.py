@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.runtime import written
+
 
 def jaccard_join(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
     """Pairs (a < b) of keys whose item sets have a Jaccard similarity of at least ``least``, exactly.
@@ -85,40 +87,50 @@ def cosine_join(vectors: DataFrame, key: str, vector: str, least: float, group:
     return both.mapInArrow(compare, "a long, b long, sim double")
 
 
-def ratio_join(records: DataFrame, key: str, text: str, group: str, least: float, block: int = 256) -> DataFrame:
+def ratio_join(records: DataFrame, key: str, text: str, group: str, least: float, block: int = 256, ids: int = 512) -> DataFrame:
     """Pairs of one group whose Ratcliff-Obershelp ratio is at least ``least``, exactly.
 
-    Records are packed in blocks and the blocks of a group are paired, so each
-    task holds two bounded blocks. A pair's ratio is computed only if its
-    lengths and the characters it has in common, which bound the ratio, allow
-    ``least``. The work is quadratic in the group, as exactness asks for. Null
-    texts and groups pair with none.
+    Ratios are computed once for each two different texts of a group, in the
+    orders in which their records come, and spread over the records after. Texts
+    are packed in blocks and the blocks of a group are paired, so each task holds
+    two bounded blocks; so are the ids of a text. A ratio is computed only if the
+    lengths and the characters in common, which bound it, allow ``least``. The
+    work is quadratic in the different texts of a group, as exactness asks for,
+    and the rows are as many as there are pairs. Null texts and groups pair with
+    none.
     """
     t = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.col(group).alias("g")).filter("t is not null and g is not null")
-    lane = F.pmod(F.xxhash64("id"), F.lit(16))
-    t = t.withColumn("blk", F.floor((F.row_number().over(W.partitionBy("g", lane).orderBy("id")) - 1) / block) * 16 + lane)
-    blocks = t.groupBy("g", "blk").agg(F.collect_list(F.struct("id", "t")).alias("r"))
-    both = blocks.toDF("g", "b1", "r1").join(blocks.toDF("g", "b2", "r2"), "g").filter("b1 <= b2").select((F.col("b1") == F.col("b2")).alias("own"), "r1", "r2")
+    lane = F.pmod(F.xxhash64("t"), F.lit(16))
+    texts = t.groupBy("g", "t").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    texts = texts.withColumn("lane", lane).withColumn("rn", F.row_number().over(W.partitionBy("g", "lane").orderBy("t")) - 1)
+    texts = texts.select("g", "t", "n", "lo", "hi", (F.col("rn") * 16 + F.col("lane")).alias("k"), (F.floor(F.col("rn") / block) * 16 + F.col("lane")).alias("blk"))
+    texts = written(texts, "ratio-texts")  # read twice
+    blocks = texts.groupBy("g", "blk").agg(F.collect_list(F.struct("k", "t", "lo", "hi")).alias("r"))
+    both = blocks.toDF("g", "b1", "r1").join(blocks.toDF("g", "b2", "r2"), "g").filter("b1 <= b2").select("g", (F.col("b1") == F.col("b2")).alias("own"), "r1", "r2")
     # few blocks hold many pairs: without this, coalesced partitions leave them to a few tasks
-    both = both.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = difflib.SequenceMatcher()
         for batch in batches:
             for i in range(batch.num_rows):
-                own, left, right = (c[i].as_py() for c in batch.columns)
+                own, left, right = (c[i].as_py() for c in batch.columns[1:])
                 found = []
-                for y in right:
-                    m.set_seq2(y["t"])  # what the second text costs is paid once
-                    for x in left:
-                        if x["id"] < y["id"]:
-                            m.set_seq1(x["t"])
-                            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (s := m.ratio()) >= least:
-                                found.append((x["id"], y["id"], s))
-                        elif x["id"] > y["id"] and not own:  # the ratio depends on the order
-                            z = difflib.SequenceMatcher(None, y["t"], x["t"])
-                            if z.real_quick_ratio() >= least and z.quick_ratio() >= least and (s := z.ratio()) >= least:
-                                found.append((y["id"], x["id"], s))
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "ratio"])
-
-    return both.mapInArrow(compare, "a long, b long, ratio double").select("a", "b", F.round("ratio", 6).alias("ratio"))
+                for first, second in [(left, right)] if own else [(left, right), (right, left)]:  # the ratio depends on the order
+                    for y in second:
+                        m.set_seq2(y["t"])  # what the second text costs is paid once
+                        for x in first:
+                            if x["lo"] < y["hi"]:  # some record of x comes before one of y
+                                m.set_seq1(x["t"])
+                                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (s := m.ratio()) >= least:
+                                    found.append((x["k"], y["k"], s))
+                group = batch.column(0).take(pa.array([i] * len(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([group, *(pa.array([f[c] for f in found], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.float64())))], ["g", "x", "y", "ratio"])
+
+    alike = both.mapInArrow(compare, f"g {dict(texts.dtypes)['g']}, x long, y long, ratio double").withColumn("ratio", F.round("ratio", 6))
+    cell = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / ids))
+    lists = t.join(texts.select("g", "t", "n", "k"), ["g", "t"]).groupBy("g", "k", cell.alias("cell")).agg(F.collect_list("id").alias("ids"))
+    pairs = alike.join(lists.select("g", F.col("k").alias("x"), F.col("ids").alias("as")), ["g", "x"]).join(lists.select("g", F.col("k").alias("y"), F.col("ids").alias("bs")), ["g", "y"])
+    pairs = pairs.select("as", "bs", "ratio").repartition(parts)  # a row holds up to the square of a list's pairs
+    return pairs.select(F.explode("as").alias("a"), "bs", "ratio").select("a", F.explode("bs").alias("b"), "ratio").filter("a < b")
