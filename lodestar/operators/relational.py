@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.runtime import written
+
 #: Order of importance, most important first.
 IMPORTANCE = ("critical", "high", "medium", "low")
 SENSITIVE = (
@@ -88,6 +94,57 @@ def co_occurrence(links: DataFrame, record: str, node: str, least: int) -> DataF
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+#: Different records up to which a node's records are a row of bits.
+DENSE = 4096
+
+
+def dense_co_occurrence(links: DataFrame, record: str, node: str, least: int, block: int = 2048) -> DataFrame:
+    """``co_occurrence`` of integer nodes where few records hold many nodes each.
+
+    A self-join would make a row for each pair and shared record. Here a node is
+    a row of bits, one a record; rows are packed in blocks, and the product of
+    two blocks counts what their nodes share, so only pairs of at least
+    ``least`` leave a task. Work is quadratic in the nodes, memory is that of two
+    blocks. If there are more than ``DENSE`` records, by count, they are joined.
+    """
+    spark = links.sparkSession
+    n = links.select(record, node).filter(F.col(record).isNotNull() & F.col(node).isNotNull()).distinct()
+    records = n.select(record).distinct()
+    width = records.count()
+    if width > DENSE:
+        return co_occurrence(links, record, node, least)
+    at = records.select(record, (F.row_number().over(W.orderBy(record)) - 1).alias("_at"))  # counted above
+    rows = n.join(F.broadcast(at), record).groupBy(F.col(node).cast("long").alias("id")).agg(F.collect_list("_at").alias("at")).filter(F.size("at") >= least)
+    rows = written(rows, "bit-rows")
+    many = max(1, -(-rows.count() // block))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros((table.num_rows, width), np.uint8)
+        lists = table["at"].combine_chunks()
+        bits[np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)] = 1
+        return pa.table({"blk": pa.array([key[0].as_py()], pa.int64()), "ids": [table["id"].to_numpy().astype("<i8").tobytes()], "m": [np.packbits(bits, axis=1).tobytes()]})
+
+    blocks = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(many))).groupBy("blk").applyInArrow(pack, "blk long, ids binary, m binary")
+    blocks = written(blocks.repartition(min(many, spark.sparkContext.defaultParallelism)), "bit-blocks")
+    both = blocks.toDF("b1", "i1", "m1").hint("shuffle_replicate_nl").join(blocks.toDF("b2", "i2", "m2"), F.col("b1") <= F.col("b2"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda ids, m: np.unpackbits(np.frombuffer(m, np.uint8).reshape(len(ids), -1), axis=1, count=width).astype(np.float32)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b1, i1, m1, b2, i2, m2 = (c[i].as_py() for c in batch.columns)
+                i1, i2 = np.frombuffer(i1, "<i8"), np.frombuffer(i2, "<i8")
+                shared = whole(i1, m1) @ whole(i2, m2).T  # counts are exact in single precision
+                x, y = np.nonzero(shared >= least)
+                a, b, k = i1[x], i2[y], shared[x, y].astype(np.int64)
+                keep = a < b if b1 == b2 else a != b
+                a, b, k = a[keep], b[keep], k[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(k)], ["a", "b", "n"])
+
+    kind = dict(links.dtypes)[node]
+    return both.mapInArrow(compare, "a long, b long, n long").select(F.col("a").cast(kind), F.col("b").cast(kind), "n")
+
+
 def overlap_join(ranges: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     """Ranges (id, lo, hi) that overlap query ranges (qid, qlo, qhi), closed ends; pairs appear once.
 

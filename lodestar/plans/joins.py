@@ -179,7 +179,7 @@ def orphan_links(spark, sf):
 @query("J30_tag_overlap", T.sql("ev") + "SELECT a.user_id AS a, b.user_id AS b, count(*) AS n FROM (SELECT DISTINCT user_id, event_type || k AS tag FROM ev) a JOIN (SELECT DISTINCT user_id, event_type || k AS tag FROM ev) b ON a.tag = b.tag AND a.user_id < b.user_id GROUP BY ALL HAVING count(*) >= 38")
 def tag_overlap(spark, sf):
     t = T.events(spark, sf).select("user_id", F.concat("event_type", F.col("k").cast("string")).alias("tag"))
-    return R.co_occurrence(t, "tag", "user_id", 38)
+    return R.dense_co_occurrence(t, "tag", "user_id", 38)
 
 
 _VEC = """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)
