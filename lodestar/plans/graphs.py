@@ -207,7 +207,7 @@ def graph_stats(spark, sf):
     g = T.graph(spark, sf, 3)
     both = R.undirected(g.select("src", "dst"))
     c = connected_components(g).agg(F.count_distinct("component").alias("components"))
-    return both.agg(F.count_distinct("a").alias("nodes"), (F.count("*") / F.count_distinct("a")).alias("degree")).join(F.broadcast(c))  # one row
+    return both.agg(F.count_distinct("a").alias("nodes"), F.coalesce(F.try_divide(F.count("*"), F.count_distinct("a")), F.lit(float("nan"))).alias("degree")).join(F.broadcast(c))  # one row
 
 
 @query("J16_shared_representation", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN labels l ON l.doc_id = a.vec_id JOIN embeddings b ON b.label = a.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 10")
