@@ -109,22 +109,60 @@ def greedy_clusters(rows: DataFrame, keys: list[str], key: str, items: str, leas
     """Each row, in order of ``key``, joins the first cluster whose union of items is similar enough: (keys, id, cluster).
 
     The result depends on the order, so a group is folded as one; its rows carry
-    small sets. A cluster is named by its first member.
+    small sets. A cluster is named by its first member. Unions are rows of bits,
+    compared at once with a set; a set that was seen before is compared only
+    with the clusters that changed since.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, ignore_index=True)
+        at, values = pd.factorize(np.concatenate(list(pdf[items])))
+        ends = np.cumsum([0, *map(len, pdf[items])])
+        width = max(1, -(-len(values) // 64))
+        unions, sizes = np.zeros((width, 1024), np.uint64), np.zeros(1024, np.int64)
         names: list[int] = []
-        unions: list[set] = []
+        changes: list[int] = []  # clusters in the order of their changes
+        seen: dict[bytes, tuple[int, int]] = {}  # of a set: its last cluster, changes until then
         out = []
-        for i, own in zip(pdf[key], map(set, pdf[items])):
-            at = next((k for k, u in enumerate(unions) if len(u & own) >= least * len(u | own)), None)
-            if at is None:
-                at = len(names)
-                names.append(int(i))
-                unions.append(set())
-            unions[at] |= own
-            out.append(names[at])
+
+        def alike(lo: int, hi: int, own: np.ndarray, n: int) -> int | None:
+            """The first cluster of a range that is similar enough."""
+            while lo < hi:
+                end = min(hi, lo + 16384)
+                shared = np.zeros(end - lo, np.int64)
+                for word, bits in zip(unions, own):
+                    if bits:
+                        shared += np.bitwise_count(word[lo:end] & bits)
+                hit = shared >= least * (sizes[lo:end] + n - shared)
+                if hit[first := int(hit.argmax())]:
+                    return lo + first
+                lo = end
+            return None
+
+        for row, name in enumerate(pdf[key]):
+            own = np.zeros(width, np.uint64)
+            mine = np.unique(at[ends[row] : ends[row + 1]])
+            np.bitwise_or.at(own, mine // 64, np.uint64(1) << (mine % 64).astype(np.uint64))
+            n, mark = len(mine), own.tobytes()
+            last, since = seen.get(mark, (0, 0))
+            if mark in seen:
+                changed = sorted({c for c in changes[since:] if c < last}) if len(changes) - since < 4096 else range(last)
+                found = next((c for c in changed if alike(c, c + 1, own, n) is not None), None)
+                found = alike(last, len(names), own, n) if found is None else found
+            else:
+                found = alike(0, len(names), own, n)
+            if found is None:
+                found = len(names)
+                names.append(int(name))
+                if found == len(sizes):
+                    unions, sizes = np.concatenate([unions, np.zeros_like(unions)], axis=1), np.concatenate([sizes, np.zeros_like(sizes)])
+            union = unions[:, found] | own
+            size = int(np.bitwise_count(union).sum())
+            if size != sizes[found]:
+                unions[:, found], sizes[found] = union, size
+                changes.append(found)
+            seen[mark] = found, len(changes)
+            out.append(names[found])
         return pd.DataFrame({**{k: pdf[k] for k in keys}, "id": pdf[key], "cluster": out})
 
     kinds = dict(rows.dtypes)
