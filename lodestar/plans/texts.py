@@ -32,7 +32,8 @@ def line_filter(spark, sf):
 def filter_stats(spark, sf):
     lines = F.split("text", "\n")
     kept = F.array_join(F.slice(lines, 1, 3), "\n")
-    return _docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("chars"), F.size(lines).cast("long").alias("lines"), F.round(F.greatest(F.lit(0.0), 100.0 * (F.length("text") - F.length(kept)) / F.length("text")), 1).alias("pct"))
+    cut = F.when(F.length("text") == 0, float("nan")).otherwise(F.try_divide(100.0 * (F.length("text") - F.length(kept)), F.length("text")))  # no part of an empty text
+    return _docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("chars"), F.size(lines).cast("long").alias("lines"), F.round(F.greatest(F.lit(0.0), cut), 1).alias("pct"))
 
 
 @query("P19_filter_detect", "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '!!')) >= 3 THEN 'shout' WHEN len(regexp_extract_all(text, '[*%&$]{3}')) >= 3 THEN 'noisy' WHEN len(regexp_extract_all(text, ' \\| ')) >= 3 THEN 'table' ELSE 'none' END AS kind FROM documents".replace("\\\\", "\\"))
