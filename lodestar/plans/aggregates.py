@@ -65,7 +65,10 @@ _RUNS = "count(*) FILTER (event_type IN ('purchase', 'error'))"
 def workflow(spark, sf):
     e = T.events(spark, sf).filter(F.col("event_type").isin("purchase", "error"))
     ok = F.count_if(F.col("event_type") == "purchase")
-    return e.groupBy("user_id").agg(F.count("*").alias("total"), ok.alias("ok"), F.count_if(F.col("event_type") == "error").alias("fail"), F.floor(F.avg("value")).alias("avg_ms"), F.round(ok / F.count("*"), 6).alias("rate"))
+    g = e.groupBy("user_id").agg(F.count("*").alias("total"), ok.alias("ok"), F.count_if(F.col("event_type") == "error").alias("fail"), F.sum(F.col("value").cast("decimal(28,10)")).alias("s"), F.count("value").alias("n"), F.round(ok / F.count("*"), 6).alias("rate"))
+    # exactly: a sum of doubles that ends below a whole mean would be floored to the number before
+    mean = F.expr("cast((s - pmod(s, nullif(n, 0))) / nullif(n, 0) as bigint)")
+    return g.select("user_id", "total", "ok", "fail", mean.alias("avg_ms"), "rate")
 
 
 @query("A08_skill_status", E + "SELECT user_id, count(*) AS uses, CASE WHEN count(*) >= 10 AND count(*) FILTER (event_type = 'purchase') / count(*) >= 0.5 THEN 'mastered' WHEN count(*) >= 3 THEN 'active' ELSE 'new' END AS status FROM ev WHERE event_type IN ('purchase', 'error') GROUP BY user_id")
