@@ -50,9 +50,11 @@ def jaccard_search(records: DataFrame, key: str, queries: DataFrame, query_key:
     return both.select(query_key, key, F.round(F.col("n") / (F.col("nr") + F.col("nq") - F.col("n")), 6).alias("sim"))
 
 
-def cosine_join(vectors: DataFrame, key: str, vector: str, least: float, group: str | None = None, most: float = 2.0, block: int = 2048) -> DataFrame:
+def cosine_join(vectors: DataFrame, key: str, vector: str, least: float, group: str | None = None, most: float = 2.0, block: int = 2048, digits: int | None = 6) -> DataFrame:
     """Pairs (a < b) whose cosine lies in ``[least, most]``, exactly; zero and null vectors pair with none.
 
+    ``sim`` is rounded to ``digits``, or whole without them: rounded, it can't be held against a threshold.
+
     Vectors are packed in blocks and blocks are paired, so each task multiplies
     two bounded matrices. The work is quadratic, as exactness asks for; for
     approximate joins use keys of ``functions.vector.sign_words``.
@@ -82,7 +84,7 @@ def cosine_join(vectors: DataFrame, key: str, vector: str, least: float, group:
                 a, b, s = ids[0][x], ids[1][y], sim[x, y]
                 keep = (a < b) if r["b1"] == r["b2"] else (a != b)
                 a, b, s = a[keep], b[keep], s[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.round(s, 6))], ["a", "b", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s if digits is None else np.round(s, digits))], ["a", "b", "sim"])
 
     return both.mapInArrow(compare, "a long, b long, sim double")
 
