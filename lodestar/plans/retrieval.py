@@ -81,9 +81,9 @@ def hybrid(spark, sf):
     e = T.table(spark, sf, "embeddings")
     items = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
     q = e.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))  # one a stated query
-    near = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).transform(F_.asked, q).select(F.col("qid").alias("item_id"), "id", F.round(F_.cosine("v", "q"), 9).alias("score"))
+    near = F_.nearest_blocks(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q, 50, 9).select(F.col("qid").alias("item_id"), "id", F.round("score", 9).alias("score"), "rank")
     lexical = _bm25(spark, sf).select("item_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
-    tiers = F_.best(lexical, "item_id", "id", 50).withColumn("w", F.lit(1.0)).unionByName(F_.best(near, "item_id", "id", 50).withColumn("w", F.lit(1.2)))
+    tiers = F_.best(lexical, "item_id", "id", 50).withColumn("w", F.lit(1.0)).unionByName(near.withColumn("w", F.lit(1.2)))
     fused = tiers.groupBy("item_id", "id").agg(F.sum(F.col("w") / (60 + F.col("rank"))).alias("fused"))
     k = T.knowledge(spark, sf).filter("status = 'active'").select("id", "confirmed", "recall_count", "importance")
     s = ranking.final(fused.join(k, "id"), "fused", T.AS_OF).select("item_id", "id", F.round("score", 9).alias("score"))
@@ -94,9 +94,9 @@ def hybrid(spark, sf):
 def explain(spark, sf):
     e = T.table(spark, sf, "embeddings")
     q = e.join(T.table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    near = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).transform(F_.asked, q).select(F.lit("semantic").alias("tier"), F.col("qid").alias("item_id"), "id", F.round(F_.cosine("v", "q"), 9).alias("score"))
+    near = F_.nearest_blocks(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q, 5, 9).select(F.lit("semantic").alias("tier"), F.col("qid").alias("item_id"), "id", F.round("score", 9).alias("score"), "rank")
     fts = _bm25(spark, sf).select(F.lit("fts").alias("tier"), "item_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
-    both = F_.best(fts, "item_id", "id", 5).unionByName(F_.best(near, "item_id", "id", 5))
+    both = F_.best(fts, "item_id", "id", 5).unionByName(near)
     return both.groupBy("tier", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
 
 
@@ -121,8 +121,7 @@ def entities(spark, sf):
 @query("V02_exact_cosine", f"WITH {_VEC} SELECT qid, id, round(list_cosine_similarity(v, q), 6) AS score FROM v, qv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(v, q), 9) DESC, id) <= 10")
 def exact(spark, sf):
     v, q = _vectors(spark, sf)
-    s = F_.asked(v, q).select("qid", "id", F.round(F_.cosine("v", "q"), 9).alias("score"))
-    return F_.best(s, "qid", "id", 10).select("qid", "id", F.round("score", 6).alias("score"))
+    return F_.nearest_blocks(v, q, 10, 9).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 _BITS = "list_sum(list_transform(range(1, 65), lambda i: ((v[i] > 0) <> (q[i] > 0))::INT))"
