@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.runtime import written
+from lodestar.runtime import spread, written
 
 #: Order of importance, most important first.
 IMPORTANCE = ("critical", "high", "medium", "low")
@@ -85,13 +85,18 @@ def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 def co_occurrence(links: DataFrame, record: str, node: str, least: int) -> DataFrame:
     """Pairs of nodes that share at least ``least`` records (a < b), with the count ``n``.
 
-    Nodes with less support than ``least`` are pruned before the self-join.
+    Nodes with less support than ``least`` are pruned before the self-join. Rows
+    and pairs are counted first and spread over tasks of a bounded number of
+    rows; a record of many nodes is not split.
     """
-    n = links.select(record, node).distinct()
+    n = links.select(record, node).filter(F.col(record).isNotNull() & F.col(node).isNotNull())
+    n = written(spread(n, n.count(), record).distinct(), "co-occurrence")  # read three times
+    rows = n.count()
+    most = n.groupBy(record).agg(F.count("*").alias("_c")).agg(F.sum(F.expr("cast(_c as decimal(38,0)) * (_c - 1) / 2"))).first()[0]
     frequent = n.groupBy(node).agg(F.count("*").alias("_s")).filter(F.col("_s") >= least).select(node)
-    n = n.join(frequent, node)
-    pairs = n.withColumnRenamed(node, "a").join(n.withColumnRenamed(node, "b"), record).filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    n = spread(n.join(frequent, node), rows, record)
+    pairs = n.withColumnRenamed(node, "a").join(n.withColumnRenamed(node, "b"), record).filter("a < b").select("a", "b")
+    return spread(pairs, int(most or 0), "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 #: Different records up to which a node's records are a row of bits.

@@ -105,6 +105,21 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of a task that groups or joins them, where their number is known.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many tasks as ``rows``, its number of rows, asks for.
+
+    A task then holds the same number of rows whatever the size of the table;
+    adaptive execution would merge tasks by the bytes they read, however many
+    rows they make of them.
+    """
+    few = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 20_000))
+    return df.repartition(max(-(-rows // TASK_ROWS), few, 1), *keys)
+
+
 def salted_lookup(rows: DataFrame, key: str, salt_from: str, aggs: dict, salts: int = 32, keep: str | None = None) -> DataFrame:
     """Add to each row the aggregates of its ``key`` group, with no task holding a hot group.
 

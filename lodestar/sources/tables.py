@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestar.runtime import spread
+
 AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC, in place of a wall clock
 BASE = 1704067200  # 2024-01-01 00:00:00 UTC
 
@@ -43,8 +45,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record-to-node links: record = order, node = part, strength = quantity / 50; one row a pair."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("node")).agg((F.max("l_quantity") / 50).alias("strength"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("node"), "l_quantity")
+    # hardly two rows have one pair, so they are not grouped before the shuffle; by record, which most readers group or join by
+    return spread(li, li.count(), "record").groupBy("record", "node").agg((F.max("l_quantity") / 50).alias("strength"))
 
 
 def graph(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
@@ -53,8 +56,8 @@ def graph(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
     Orders hold a bounded number of lines, so pairs grow with the orders only.
     """
     n = links(spark, sf_dir).select("record", "node")
-    pairs = n.join(n.withColumnRenamed("node", "dst"), "record").filter(F.col("node") < F.col("dst"))
-    return pairs.groupBy(F.col("node").alias("src"), "dst").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    pairs = n.join(n.withColumnRenamed("node", "dst"), "record").filter(F.col("node") < F.col("dst")).select(F.col("node").alias("src"), "dst")
+    return spread(pairs, 2 * table(spark, sf_dir, "lineitem").count(), "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
