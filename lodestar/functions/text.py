@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.runtime import released
+
 #: Content classes by ordered tests on the text.
 CLASSES = (
     ("stacktrace", r"Traceback \(most recent call last\)|(?m)^\s+at [\w.$]+\("),
@@ -136,3 +140,17 @@ def chunked(kind: str, size: int = 1500):
         return text.map(lambda t: chunks(t, kind, size))
 
     return run
+
+
+def chunk_rows(docs: DataFrame, key: str, text: str, kind: str, size: int = 1500) -> DataFrame:
+    """``(key, n, chunk)``, a row a chunk in order; a reply holds the chunks of few texts, so memory doesn't grow with a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [chunks(t, kind, size) for t in part.column(1).to_pylist()]
+                at = pa.array([r for r, c in enumerate(found) for _ in c], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array([n for c in found for n in range(len(c))], pa.int32()), pa.array([x for c in found for x in c], pa.string())], [key, "n", "chunk"])
+
+    return docs.select(key, text).mapInArrow(released(run), f"{key} {dict(docs.dtypes)[key]}, n int, chunk string")

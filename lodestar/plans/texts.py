@@ -179,7 +179,7 @@ def entity_codes(spark, sf):
 def _chunks(name, kind, size):
     @query(name)
     def run(spark, sf):
-        c = _docs(spark, sf).select("doc_id", F.posexplode(X.chunked(kind, size)("text")).alias("n", "chunk"))
+        c = X.chunk_rows(_docs(spark, sf), "doc_id", "text", kind, size)
         return c.select("doc_id", "n", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
     return run
