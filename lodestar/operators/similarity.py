@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.runtime import written
+from lodestar.runtime import spread, written
+
+#: Items of a set up to which its pairs of items are listed.
+SMALL = 16
 
 
 def jaccard_join(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
@@ -21,16 +24,41 @@ def jaccard_join(sets: DataFrame, key: str, item: str, least: float) -> DataFram
     Prefix filtering: items are ordered from rare to frequent, and two sets that
     are similar enough share one of their first ``n - ceil(least * n) + 1``
     items, so only those are joined; the candidates are then verified on the
-    whole sets. Frequent items seldom are in a prefix, so no item is hot.
+    whole sets. Frequent items seldom are in a prefix, so no item is hot. Small
+    sets that have to share two items are joined on two, which hardly any other
+    sets share.
     """
-    s = sets.select(F.col(key).alias("id"), F.col(item).alias("item")).distinct()
+    rows = sets.count()
+    s = spread(sets.select(F.col(key).alias("id"), F.col(item).alias("item")), rows, "id").distinct()
     freq = s.groupBy("item").agg(F.count("*").alias("f"))
-    order = W.partitionBy("id").orderBy("f", "item")
-    ranked = s.join(freq, "item").select("id", "item", F.row_number().over(order).alias("r"), F.count("*").over(W.partitionBy("id")).alias("n"))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "item", "n")
-    a, b = prefix.select(F.col("id").alias("a"), "item", F.col("n").alias("na")), prefix.select(F.col("id").alias("b"), "item", F.col("n").alias("nb"))
-    pairs = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
-    whole = s.groupBy("id").agg(F.collect_set("item").alias("w"))
+    ranked = spread(s.join(freq, "item"), rows, "id").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "item"))), lambda x: x["item"]).alias("w"))
+    ranked = written(ranked.select("id", F.size("w").alias("n"), "w"), "jaccard-sets", "lz4")
+    need = lambda n: F.ceil(F.lit(least) * F.col(n) - 1e-9)  # noqa: E731  items that any partner has to share
+    fits = (F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    sides = lambda d, *c: (d.toDF("a", "na", *c), d.toDF("b", "nb", *c))
+
+    prefix = ranked.select("id", "n", F.explode(F.slice("w", 1, (F.col("n") - need("n") + 1).cast("int"))).alias("item"))
+    found = []
+    # one item is enough for a pair of sets that have at most one more than 1 / least items together
+    lone = prefix.filter(F.lit(least) * F.col("n") <= 1 + 1e-9)
+    a, b = sides(spread(lone, rows, "item"), "item")
+    found.append(a.join(b, "item").filter(fits & (F.lit(least) * (F.col("na") + F.col("nb") - 1) <= 1 + 1e-9)).select("a", "b"))
+    # all other pairs of small sets share two, and two of the first n - need + 2 are the first two that they share
+    small = ranked.filter(f"n between 2 and {SMALL}")
+    head = F.slice("w", 1, (F.col("n") - F.greatest(need("n"), F.lit(2)) + 2).cast("int"))
+    two = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, SMALL), lambda y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))))
+    two = small.select("id", "n", F.explode(two).alias("t")).select("id", "n", "t.x", "t.y")
+    a, b = sides(spread(two, 8 * rows, "x", "y"), "x", "y")
+    found.append(a.join(b, ["x", "y"]).filter(fits).select("a", "b"))
+    # large sets by single items of their prefixes, with sets of any size
+    large = spread(prefix.filter(f"n > {SMALL}"), rows, "item")
+    other = spread(prefix.filter(F.col("n") >= least * SMALL), rows, "item")
+    a, b = large.toDF("a", "na", "item"), other.toDF("b", "nb", "item")
+    either = a.join(b, "item").filter((F.col("a") != F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
+    found.append(either.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+    pairs = found[0].union(found[1]).union(found[2]).distinct()
+    whole = ranked.select("id", "w")
     both = pairs.join(whole.withColumnsRenamed({"id": "a", "w": "wa"}), "a").join(whole.withColumnsRenamed({"id": "b", "w": "wb"}), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     sim = common / (F.size("wa") + F.size("wb") - common)
