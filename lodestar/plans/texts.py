@@ -145,7 +145,7 @@ def validator(spark, sf):
 SELECT doc_id, w AS term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln((SELECT count(*) FROM documents) / df), 9) DESC, w) AS rank FROM tf JOIN df USING (w) QUALIFY rank <= 5""")
 def keywords(spark, sf):
     d = _docs(spark, sf)
-    tf = d.select("doc_id", F.explode(retrieval.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = retrieval.term_counts(d, "doc_id", "text")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = d.agg(F.count("*").alias("n"))
     s = tf.join(df, "term").join(F.broadcast(n)).withColumn("s", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9))  # one row
